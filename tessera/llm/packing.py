@@ -97,7 +97,7 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
             _, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):
                 ids = token_ids([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], path)
-                plane = _state["plane"]
+                plane = _tokenizer(path)["plane"]
                 v = np.stack([plane[np.frombuffer(x, np.uint16)].sum(0) for x in ids])
                 v /= np.maximum(np.abs(v).max(1, keepdims=True), 1e-9)
                 key = hilbert(((v + 1) * ((1 << BITS) - 1) / 2).round())
