@@ -6,7 +6,11 @@ from importlib import import_module
 
 MODULES = {
     "op2_byte_bpe": "byte_bpe",
+    "op4_substring": "substring",
+    "op6_minhash": "minhash",
     "op7_packing": "packing",
+    "op8_ann": "ann",
+    "op10_vector_dedup": "vector_dedup",
 }
 
 
