@@ -72,6 +72,32 @@ def _tokenizer(path: str):
     return _state
 
 
+def _learn(missing: set[str], s: dict) -> None:
+    """Encode words and keep their ids. A comma or full stop after a letter is a token of its own and ASCII case is
+    dropped, so such words share the ids of their stems; the others are encoded in one call, cut at word starts."""
+    cache = s["words"]
+
+    def stem(w: str) -> tuple[str, str]:
+        base, end = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",." and w[-2].isalpha() else (w, "")
+        return (base.lower() if base.isascii() else base), end
+
+    stems = {w: stem(w) for w in missing}
+    new = list({x for pair in stems.values() for x in pair if x} - cache.keys())
+    for i in range(0, len(new), 20_000):
+        part = new[i : i + 20_000]
+        e = s["tokenizer"].encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(e.ids, np.uint16)
+        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+        first = np.cumsum([0] + [len(w) + 1 for w in part])
+        cuts = (np.searchsorted(at, first) * 2).tolist()
+        data = ids.tobytes()
+        for w, a, b in zip(part, cuts, cuts[1:]):
+            cache[w] = data[a:b]
+    cache[""] = b""
+    for w, (base, end) in stems.items():
+        cache[w] = cache[base] + cache[end]
+
+
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 16-bit ids of each text, with the separator. A blank or line feed always ends a word
     for this tokenizer, so words between them are encoded once and kept."""
@@ -80,13 +106,14 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     cache = s["words"]
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    missing = list(set().union(*split) - cache.keys()) if split else []
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
-        for w, e in zip(part, s["tokenizer"].encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, np.uint16).tobytes()
-    get, tail = cache.__getitem__, np.array([SEPARATOR], np.uint16).tobytes()
-    return [b"".join(map(get, w)) + tail for w in split]
+    get, tail = cache.get, np.array([SEPARATOR], np.uint16).tobytes()
+    found = [list(map(get, w)) for w in split]
+    short = [k for k, ids in enumerate(found) if None in ids]
+    if short:
+        _learn({w for k in short for w, ids in zip(split[k], found[k]) if ids is None}, s)
+        for k in short:
+            found[k] = map(get, split[k])
+    return [b"".join(ids) + tail for ids in found]
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -98,7 +125,8 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
             for a, b in slices(offsets):
                 ids = token_ids([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], path)
                 plane = _tokenizer(path)["plane"]
-                v = np.stack([plane[np.frombuffer(x, np.uint16)].sum(0) for x in ids])
+                edges = np.cumsum([0] + [len(x) // 2 for x in ids])[:-1]
+                v = np.add.reduceat(plane[np.frombuffer(b"".join(ids), np.uint16)], edges, axis=0)
                 v /= np.maximum(np.abs(v).max(1, keepdims=True), 1e-9)
                 key = hilbert(((v + 1) * ((1 << BITS) - 1) / 2).round())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(key, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "key", "ids"])
