@@ -5,11 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_pii": "pii",
     "op2_byte_bpe": "byte_bpe",
+    "op3_toxicity": "toxicity",
     "op4_substring": "substring",
     "op6_minhash": "minhash",
     "op7_packing": "packing",
     "op8_ann": "ann",
+    "op9_langid": "langid",
     "op10_vector_dedup": "vector_dedup",
 }
 
