@@ -9,6 +9,7 @@ MODULES = {
     "op2_byte_bpe": "byte_bpe",
     "op3_toxicity": "toxicity",
     "op4_substring": "substring",
+    "op5_licenses": "licenses",
     "op6_minhash": "minhash",
     "op7_packing": "packing",
     "op8_ann": "ann",
