@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -35,13 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/part-" not in path:
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let Spark's cleaner drop the shuffle files of what was
+    computed before them (it waits for the driver's garbage collection)."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,9 +4,10 @@
 automata, broadcast in turn; documents stream past for matching statistics and lose the maximal spans at or above
 the threshold. Used on the corpus itself that takes one pass over all documents for each shard, a quadratic cost, so
 `remove_earlier` (the query's operator) finds the same spans by routing instead: every window is represented by the
-least hash of its nine 5-word grams; only windows whose representative occurs in two documents go on; for those, the
-128-bit hash of the whole window finds the least doc_id. Each step is an aggregation or a join on a hash
-with map-side combining; no group is ever held by one task.
+least hash of its nine 5-word grams; only windows whose representative occurs in two documents go on, as segments: runs
+of windows with one representative. The least doc_id of each distinct segment (128 bits: its representative and its own hash)
+settles most; under representatives with several different segments, windows are compared one by one. Each step is an
+aggregation or a join on a hash with map-side combining; no group is ever held by one task.
 
 Cases: null text has no words; null doc_id counts as the largest (it owns nothing that another document has); rows with
 one doc_id never remove each other's words; repeated rows get equal results; a text of fewer than 13 words is
@@ -20,12 +21,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import grams, materialize, slices, table, utf8, words
+from tessera.llm.common import discard, grams, materialize, mix, slices, table, utf8, words
 
 WINDOW, GRAM = 13, 5
+SPAN = WINDOW - GRAM + 1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of one automaton: some 400 bytes each in a worker.
 SHARD_WORDS = 200_000
@@ -125,7 +128,7 @@ def remove_reference(docs: DataFrame, passages: list[str], window: int = WINDOW,
 def _representatives(h, row):
     """(first word of each window, its representative gram)."""
     at, g = grams(h, row, GRAM, 1)
-    span = WINDOW - GRAM + 1
+    span = SPAN
     n = len(g) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -153,7 +156,7 @@ def _emit_grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rep[new].view(np.int64)), pa.array(doc[a:b][row[new]])], ["rep", "doc"])
 
 
-def _emit_windows(batches):
+def _emit_segments(batches):
     for batch in batches:
         data, offsets = utf8(batch.column(2))
         doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -169,41 +172,66 @@ def _emit_windows(batches):
                 x, y = bounds[k], bounds[k + 1]
                 if y > x:
                     hit[x:y] = np.isin(rep[x:y], values[edges[a + k] : edges[a + k + 1]])
-            at = at[hit]
-            ws, h1 = grams(h, row, WINDOW, 2)
-            _, h2 = grams(h, row, WINDOW, 3)
-            pick = np.searchsorted(ws, at)
-            r = row[at]
-            where = (at - first[r]) << 24 | tag[a:b][r]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].view(np.int64)), pa.array(doc[a:b][r]), pa.array(where)], ["h1", "h2", "doc", "at"])
+            at, rep = at[hit], rep[hit]
+            n = len(at)
+            if not n:
+                continue
+            ws, window = grams(h, row, WINDOW, 2)
+            window, r = window[np.searchsorted(ws, at)], row[at]
+            new = np.ones(n, bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (rep[1:] != rep[:-1]) | (r[1:] != r[:-1])
+            index = np.arange(n)
+            inside = index - np.maximum.accumulate(np.where(new, index, 0))
+            start = np.flatnonzero(inside % SPAN == 0)
+            size = np.diff(np.append(start, n))
+            place = (index - np.repeat(start, size)).astype(np.uint64)
+            whole = np.add.reduceat(mix(window ^ (place * np.uint64(0xA24BAED4963EE407))), start)
+            where = (at[start] - first[r[start]]) << 28 | size << 24 | tag[a:b][r[start]]
+            windows = pa.ListArray.from_arrays(pa.array(np.append(start, n).astype(np.int32)), pa.array(window.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[start].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[a:b][r[start]]), pa.array(where), windows], ["rep", "seg", "doc", "at", "windows"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc, tag, firsts): the first words of the windows of a document that an earlier one has, from (doc, tag, text)."""
+    """(doc, tag, hits): of the windows of a document that an earlier one has, first word << 9 | which of the next SPAN,
+    from (doc, tag, text)."""
     seen = materialize(docs.mapInArrow(_emit_grams, "rep long, doc long"), "grams")
     shared = seen.groupBy("rep").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("rep")
-    reps = seen.join(shared, "rep", "left_semi").groupBy("doc").agg(F.collect_set("rep").alias("reps"))
-    windows = materialize(docs.join(reps, "doc").select("doc", "tag", "text", "reps").mapInArrow(_emit_windows, "h1 long, h2 long, doc long, at long"), "windows")
-    owner = windows.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    late = windows.join(owner, ["h1", "h2"]).where("lo < doc")
-    return late.groupBy("doc", F.col("at").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_list(F.shiftright("at", 24).cast("int")).alias("firsts"))
-
-
-def _spans(firsts, n: int) -> np.ndarray:
-    cover = np.zeros(n + WINDOW + 1, np.int64)
-    at = np.asarray(firsts, np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + WINDOW, -1)
+    reps = materialize(seen.join(shared, "rep", "left_semi").groupBy("doc").agg(F.collect_set("rep").alias("reps")), "reps")
+    discard(seen)
+    segments = docs.join(reps, "doc").select("doc", "tag", "text", "reps").mapInArrow(_emit_segments, "rep long, seg long, doc long, at long, windows array<long>")
+    segments = materialize(segments, "segments")
+    discard(reps)
+    # A segment that an earlier document has whole is settled; windows are compared only under representatives with
+    # several different segments, once for each segment.
+    first = materialize(segments.groupBy("rep", "seg").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("windows").alias("windows")), "first")
+    several = first.groupBy("rep").count().where("count > 1").select("rep")
+    each = first.join(several, "rep", "left_semi").select("rep", "seg", "lo", F.posexplode("windows").alias("place", "window"))
+    owner = each.groupBy("rep", "window").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("rep", "window", "least")
+    late = each.join(owner, ["rep", "window"]).where("least < lo").groupBy("rep", "seg").agg(F.expr("bit_or(cast(shiftleft(1, place) as long))").alias("mask"))
+    marked = first.select("rep", "seg", "lo", "hi").join(late, ["rep", "seg"], "left").where("lo < hi or mask is not null").select("rep", "seg", "lo", "mask")
+    hit = segments.select("rep", "seg", "doc", "at").join(marked, ["rep", "seg"])
+    every = F.expr("shiftleft(1L, cast(shiftright(at, 24) & 15 as int)) - 1")
+    hit = hit.withColumn("mask", F.when(F.col("lo") < F.col("doc"), every).otherwise(F.coalesce("mask", F.lit(0)))).where("mask <> 0")
+    hits = hit.groupBy("doc", F.col("at").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_list(F.expr("shiftleft(shiftright(at, 28), 9) | mask")).alias("hits"))
+    hits = materialize(hits, "hits")
+    discard(segments, first)
+    return hits
+
+
+def _spans(hits, n: int) -> np.ndarray:
+    hits = np.asarray(hits, np.int64)
+    cover = np.zeros(n + WINDOW + SPAN + 1, np.int64)
+    for k in range(SPAN):
+        at = (hits[hits >> k & 1 == 1] >> 9) + k
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + WINDOW, -1)
     return np.cumsum(cover)[:n] > 0
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    """docs as one struct column, with the firsts of each."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+def _keyed(docs: DataFrame):
+    """(doc, tag, text) columns: a document's number, 24 bits of its text's hash (a doc_id may repeat), its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = docs.select(key.alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("tag"), text.alias("text"))
-    whole = docs.select(F.struct("*").alias("given"), key.alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("tag"), text.alias("body"))
-    return whole.join(repeated(plain), ["doc", "tag"], "left")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("tag"), text.alias("text")
 
 
 def remove_earlier(docs: DataFrame) -> DataFrame:
@@ -212,10 +240,11 @@ def remove_earlier(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, firsts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if firsts:
+            texts = pc.struct_field(batch.column(0), "text").cast(pa.string()).to_pylist()
+            for text, hits in zip(texts, batch.column(1).to_pylist()):
+                if hits:
                     ends, w = [], list(WORD.finditer(text))
-                    gone = _spans(firsts, len(w))
+                    gone = _spans(hits, len(w))
                     at, before = 0, False
                     for m, g in zip(w, gone):
                         if g:
@@ -229,9 +258,10 @@ def remove_earlier(docs: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["given", "body"])
 
-    joined = _joined(docs).select("given", "body", "firsts")
-    done = joined.mapInArrow(run, joined.drop("firsts").schema)
-    columns = [F.when(F.col("given.text").isNotNull(), F.col("body")).alias("text") if c == "text" else F.col("given")[c].alias(c) for c in docs.columns]
+    doc, tag, _ = _keyed(docs)
+    joined = docs.select(F.struct("*").alias("given"), doc, tag).join(repeated(docs.select(*_keyed(docs))), ["doc", "tag"], "left").select("given", "hits")
+    done = joined.mapInArrow(run, joined.drop("hits").schema.add("body", "string"))
+    columns = [F.col("body").alias("text") if c == "text" else F.col("given")[c].alias(c) for c in docs.columns]
     return done.select(*columns)
 
 
@@ -242,17 +272,18 @@ def digest(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, gone, sha = [], [], []
             data, offsets = utf8(batch.column(1))
-            for k, firsts in enumerate(batch.column(2).to_pylist()):
+            for k, hits in enumerate(batch.column(2).to_pylist()):
                 w = data[offsets[k] : offsets[k + 1]].tobytes().split()
                 n.append(len(w))
-                if firsts:
-                    g = _spans(firsts, len(w))
+                if hits:
+                    g = _spans(hits, len(w))
                     w = [x for x, y in zip(w, g.tolist()) if not y]
                 gone.append(n[-1] - len(w))
                 sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _joined(docs.select("doc_id", "text")).select("given.doc_id", "body", "firsts")
+    keyed = docs.select("doc_id", *_keyed(docs))
+    joined = keyed.join(repeated(keyed.drop("doc_id")), ["doc", "tag"], "left").select("doc_id", "text", "hits")
     return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
