@@ -25,7 +25,7 @@ from tessera.llm.common import materialize, mix, slices, table, utf8
 
 LENGTH, SEPARATOR, BITS, DIMS = 2048, 1, 10, 3
 #: Words that a worker's cache holds; a full cache starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 _state: dict = {}
 
 
@@ -68,34 +68,55 @@ def _tokenizer(path: str):
         # 256 hashed dimensions with signs, then a fixed projection to DIMS: one row of the product for each id
         h = mix(np.arange(size, dtype=np.uint64))
         plane = np.random.default_rng(7).standard_normal((256, DIMS)).astype(np.float32)
-        _state.update(path=path, tokenizer=tokenizer, words={}, plane=plane[(h & np.uint64(255)).astype(np.int64)] * np.where(h >> np.uint64(63), 1, -1).astype(np.float32)[:, None])
+        ends = np.zeros(size, bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _state.update(path=path, ends=ends, tokenizer=tokenizer, words={}, plane=plane[(h & np.uint64(255)).astype(np.int64)] * np.where(h >> np.uint64(63), 1, -1).astype(np.float32)[:, None])
     return _state
 
 
-def _learn(missing: set[str], s: dict) -> None:
-    """Encode words and keep their ids. A comma or full stop after a letter is a token of its own and ASCII case is
-    dropped, so such words share the ids of their stems; the others are encoded in one call, cut at word starts."""
-    cache = s["words"]
+def _cut(words: list[str], s: dict) -> list[bytes]:
+    """Ids of words encoded in one call. A word of letters alone is one run for the tokenizer, so it ends where a
+    token with the end mark does; other words are cut at their offsets."""
+    if not words:
+        return []
+    e = s["tokenizer"].encode(" ".join(words), add_special_tokens=False)
+    ids = np.array(e.ids, np.uint16)
+    cuts = np.flatnonzero(s["ends"][ids]) + 1
+    if len(cuts) == len(words) and all(map(str.isalpha, words)):
+        edges = np.concatenate(([0], cuts))
+    else:
+        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+        edges = np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in words]))
+    data, edges = ids.tobytes(), (edges * 2).tolist()
+    return [data[a:b] for a, b in zip(edges, edges[1:])]
 
-    def stem(w: str) -> tuple[str, str]:
-        base, end = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ",." and w[-2].isalpha() else (w, "")
-        return (base.lower() if base.isascii() else base), end
 
-    stems = {w: stem(w) for w in missing}
-    new = list({x for pair in stems.values() for x in pair if x} - cache.keys())
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        e = s["tokenizer"].encode(" ".join(part), add_special_tokens=False)
-        ids = np.array(e.ids, np.uint16)
-        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
-        first = np.cumsum([0] + [len(w) + 1 for w in part])
-        cuts = (np.searchsorted(at, first) * 2).tolist()
-        data = ids.tobytes()
-        for w, a, b in zip(part, cuts, cuts[1:]):
-            cache[w] = data[a:b]
+def _learn(missing: set[str], s: dict) -> None:
+    """Encode words and keep their ids. A comma or full stop after a letter is a token of its own and ASCII case is
+    dropped, so such words share the ids of their stems."""
+    cache, new, plan = s["words"], set(), []
+    for w in missing:
+        base = w
+        if w and w[-1] in ",." and w[-2:-1].isalpha():
+            base = w[:-1]
+            end = w[-1]
+        else:
+            end = ""
+        if base.isascii():
+            base = base.lower()
+        if base is not w:
+            plan.append((w, base, end))
+        if base not in cache:
+            new.add(base)
     cache[""] = b""
-    for w, (base, end) in stems.items():
-        cache[w] = cache[base] + cache[end]
+    for x in ",.":
+        cache.setdefault(x, _cut([x], s)[0])
+    letters = [w for w in new if w.isalpha()]
+    others = list(new - set(letters) - {"", ",", "."})
+    for part in (p[i : i + 20_000] for p in (letters, others) for i in range(0, len(p), 20_000)):
+        cache.update(zip(part, _cut(part, s)))
+    for w, base, end in plan:
+        cache[w] = cache[base] + cache[end] if end else cache[base]
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
