@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, VOTERS, LEAST_DOCS, PRECISION, COMMON = 2500, 5000, 96, 4, 0.98, 0.05
+SAMPLE_TOXIC, SAMPLE_CLEAN, VOTERS, LEAST_DOCS, PRECISION, COMMON = 1500, 3000, 96, 4, 0.98, 0.05
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -51,13 +52,17 @@ def discover(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
     many toxic texts have or that reach texts which no earlier voter reaches (copies of one text make its words
     look like a lexicon). Of patterns that extend each other the longest that loses next to nothing is taken."""
     rows = list({(frozenset(w), bool(t)) for w, t in zip(sets, toxic)})
-    feats = [({p for w in words for p in patterns(w)}, t) for words, t in rows]
     pos, neg = Counter(), Counter()
-    for f, t in feats:
-        (pos if t else neg).update(f)
+    for words, t in rows:
+        if t:
+            pos.update({p for w in words for p in patterns(w)})
+    pos = Counter({p: k for p, k in pos.items() if k >= LEAST_DOCS})
+    for words, t in rows:
+        if not t:
+            neg.update({p for w in words for p in patterns(w) if p in pos})
     n1 = max(1, sum(t for _, t in rows))
     n0 = max(1, len(rows) - n1)
-    common = [p for p, k in pos.items() if k >= LEAST_DOCS]
+    common = list(pos)
     tests = math.log(0.05 / max(1, len(common)))
     q1, q0 = math.log(n1 / (n1 + n0)), math.log(n0 / (n1 + n0))
 
@@ -77,9 +82,9 @@ def discover(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
     chosen: list[str] = []
     reached: set[int] = set()
     of: dict[str, set[int]] = {p: set() for p in good}
-    for k, (f, t) in enumerate(feats):
+    for k, (words, t) in enumerate(rows):
         if t:
-            for p in f & of.keys():
+            for p in {p for w in words for p in patterns(w) if p in of}:
                 of[p].add(k)
     for p in sorted(good, key=lambda p: (-pos[p], len(p), p)):
         if len(chosen) == VOTERS:
@@ -150,11 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model: voters and weights."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     picks = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("text", "toxic").toPandas()
-    toxic = (sample["toxic"] == 1).to_numpy()
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("text", "toxic")
+    sets, marks = [], []
+    for row in sample.toLocalIterator():
+        sets.append({sys.intern(w) for w in tokens(row.text)})
+        marks.append(row.toxic == 1)
+    toxic = np.array(marks, bool)
     if not toxic.any() or toxic.all():
         return None
-    sets = [tokens(t) for t in sample["text"]]
     chosen = discover(sets, toxic)
     if not chosen:
         return None
