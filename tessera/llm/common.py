@@ -44,6 +44,11 @@ def discard(*tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop shuffle files of finished jobs now."""
     gc.collect()
     spark._jvm.System.gc()
 

@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm.common import discard, grams, materialize, mix, slices, table, utf8, words
+from tessera.llm.common import discard, grams, materialize, mix, release, slices, table, utf8, words
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
@@ -121,7 +122,7 @@ def remove_reference(docs: DataFrame, passages: list[str], window: int = WINDOW,
                 removed.append(int(gone.sum()))
             yield batch.append_column("kept", pa.array(kept, pa.string())).append_column("n_removed", pa.array(removed, pa.int64()))
 
-    schema = docs.schema.add("kept", "string").add("n_removed", "long")
+    schema = StructType([*docs.schema.fields, StructField("kept", StringType()), StructField("n_removed", LongType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -204,17 +205,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     # A segment that an earlier document has whole is settled; windows are compared only under representatives with
     # several different segments, once for each segment.
     first = materialize(segments.groupBy("rep", "seg").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("windows").alias("windows")), "first")
+    release(docs.sparkSession)
     several = first.groupBy("rep").count().where("count > 1").select("rep")
     each = first.join(several, "rep", "left_semi").select("rep", "seg", "lo", F.posexplode("windows").alias("place", "window"))
     owner = each.groupBy("rep", "window").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("rep", "window", "least")
-    late = each.join(owner, ["rep", "window"]).where("least < lo").groupBy("rep", "seg").agg(F.expr("bit_or(cast(shiftleft(1, place) as long))").alias("mask"))
+    late = materialize(each.join(owner, ["rep", "window"]).where("least < lo").groupBy("rep", "seg").agg(F.expr("bit_or(cast(shiftleft(1, place) as long))").alias("mask")), "late")
+    release(docs.sparkSession)
     marked = first.select("rep", "seg", "lo", "hi").join(late, ["rep", "seg"], "left").where("lo < hi or mask is not null").select("rep", "seg", "lo", "mask")
     hit = segments.select("rep", "seg", "doc", "at").join(marked, ["rep", "seg"])
     every = F.expr("shiftleft(1L, cast(shiftright(at, 24) & 15 as int)) - 1")
     hit = hit.withColumn("mask", F.when(F.col("lo") < F.col("doc"), every).otherwise(F.coalesce("mask", F.lit(0)))).where("mask <> 0")
     hits = hit.groupBy("doc", F.col("at").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_list(F.expr("shiftleft(shiftright(at, 28), 9) | mask")).alias("hits"))
     hits = materialize(hits, "hits")
-    discard(segments, first)
+    discard(segments, first, late)
     return hits
 
 
