@@ -19,17 +19,19 @@ def _typed(column: Column, value: Any) -> Column:
 
 def _variant(metadata: Column, key: str, value: Any) -> Column:
     """Equality with a key of VARIANT metadata by JSON type: "1" is not 1; a missing key and a JSON null are None."""
-    path = "$[" + '"' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]'
-    item = F.try_variant_get(metadata, path, "variant")
+    if any(c in key for c in "\"\\'"):
+        item = F.try_element_at(F.try_variant_get(metadata, "$", "map<string,variant>"), F.lit(key))
+    else:
+        item = F.try_variant_get(metadata, f'$["{key}"]', "variant")
     kind = F.schema_of_variant(item)
     if value is None:
         return item.isNull() | F.coalesce(F.is_variant_null(item), F.lit(False))
     if isinstance(value, bool):
-        return F.coalesce((kind == "BOOLEAN") & (F.try_variant_get(metadata, path, "boolean") == value), F.lit(False))
+        return F.coalesce((kind == "BOOLEAN") & (F.try_variant_get(item, "$", "boolean") == value), F.lit(False))
     if isinstance(value, (int, float)):
         number = reduce(lambda a, b: a | b, [kind.startswith(t) for t in _NUMBER])
-        return F.coalesce(number & (F.try_variant_get(metadata, path, "double") == float(value)), F.lit(False))
-    return F.coalesce((kind == "STRING") & (F.try_variant_get(metadata, path, "string") == str(value)), F.lit(False))
+        return F.coalesce(number & (F.try_variant_get(item, "$", "double") == float(value)), F.lit(False))
+    return F.coalesce((kind == "STRING") & (F.try_variant_get(item, "$", "string") == str(value)), F.lit(False))
 
 
 def matches(given: Mapping[str, Any] | None, columns: Mapping[str, Column], metadata: Column | None = None) -> Column:
