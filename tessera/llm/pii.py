@@ -6,7 +6,8 @@ hashed with a key; the surrogate pours the hash into the mention's own format: a
 same case for a letter, separators, country code and top-level domain as they are, a valid check digit where there was
 one, octets in range, a given name of the same gender and script with a family name of that script. The same canonical
 form gives the same surrogate everywhere (coreference). All distinct forms of the table are checked: one whose
-surrogate another form has, or that is itself a form in the table, draws again until all surrogates are distinct; only
+surrogate another form has, or that is itself a form in the table, draws again until all surrogates are distinct (after 32 draws a form of the table may be one; after 64, with a format
+too short for its number of forms, an error says so); only
 documents with such forms are joined with the draws, so that usually rewriting is one pass without a shuffle.
 
 Cases: null text stays null, with no mentions; empty text stays empty; null doc_id is kept; repeated rows get equal
@@ -98,7 +99,7 @@ def _pour(m: Column, h: Column, skip: Column, hexadecimal: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Sum of the digits with every second from the last but one doubled, mod 10."""
-    n = F.reverse(F.split(digits, "(?!^)"))
+    n = F.reverse(F.regexp_extract_all(digits, F.lit("[0-9]"), F.lit(0)))
     return F.aggregate(F.transform(n, lambda d, i: F.when(i % 2 == 1, F.get(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), d.try_cast("int"))).otherwise(d.try_cast("int"))), F.lit(0), lambda a, b: a + b) % 10
 
 
@@ -147,14 +148,15 @@ def draws(forms: DataFrame, key: str = KEY) -> DataFrame | None:
     got = lambda a: canonical(surrogate(F.col("m"), F.col("t"), F.col("c"), a, key), F.col("t"))
     now = materialize(forms.withColumn("attempt", F.lit(0)).withColumn("s", got(F.lit(0))), "surrogates")
     again = None
-    while True:
+    for turn in range(64):
         shared = now.groupBy("t", "s").agg(F.count("*").alias("n"), F.min("c").alias("owner")).where("n > 1")
         real = now.select("t", F.col("c").alias("s"), F.lit(True).alias("real"))
-        clash = now.join(shared, ["t", "s"], "left").join(real, ["t", "s"], "left").where("real or (n > 1 and c <> owner)").select("t", "c", F.lit(True).alias("clash"))
+        clash = now.join(shared, ["t", "s"], "left").join(real, ["t", "s"], "left").where("n > 1 and c <> owner" + " or real" * (turn < 32)).select("t", "c", F.lit(True).alias("clash"))
         if not clash.head(1):
             return None if again is None else again.where("attempt > 0").select("t", "c", "attempt")
         attempt = F.col("attempt") + F.coalesce(F.col("clash"), F.lit(False)).cast("int")
         now = again = materialize(now.join(clash, ["t", "c"], "left").withColumn("attempt", attempt).drop("clash").withColumn("s", got(F.col("attempt"))), "surrogates")
+    raise ValueError("too many different forms of one format for distinct surrogates")
 
 
 def _rewritten(docs: DataFrame, key: str) -> DataFrame:
