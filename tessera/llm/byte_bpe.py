@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,12 +101,7 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.cache: dict[bytes, tuple[str, list[int]]] = {}
-        try:
-            import tiktoken
-
-            self.merge = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
-        except ImportError:
-            self.merge = lambda piece: merge_pairs(piece, self.ranks)
+        self.merge = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def piece(self, piece: bytes) -> tuple[str, list[int]]:
         if len(self.cache) >= CACHE_PIECES:
