@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: cross-polytope tables with multiprobe and exact reranking.
 
-Largest inner product becomes nearest direction: a stored vector is divided by the largest norm and gets one more
-component that makes it a unit vector; a query gets a zero there. Each of TABLES rotations files every stored
-vector under its nearest signed axis; a query looks under its PROBES nearest axes of each. On vectors without structure
-(the hardest case, where the 20th neighbour of 64 dimensions is at a cosine of 0.35) that finds over 0.9 of the true
-neighbours. Groups are cut into blocks of bounded size on both sides, so a crowded axis is spread over tasks. A block
+Rows are partitioned by norm, in ranges of a factor of 2, and each range is searched by itself; one of at most EXACT
+rows is searched as a whole. In the others largest inner product becomes nearest direction: a stored vector is divided by
+the largest norm of its range and gets one more component that makes it a unit vector; a query gets a zero there. Each
+of TABLES rotations files every stored vector under its nearest signed axis; a query looks under its PROBES nearest axes
+of each. On vectors without structure (the hardest case, where the 20th neighbour of 64 dimensions is at a cosine of 0.35)
+that finds over 0.9 of the true neighbours, however norms are spread. Groups are cut into blocks of bounded size on both sides, so a crowded axis is spread over tasks. A block
 yields its best for each query; scores are inner products in double precision of the original vectors. A query that
 found fewer than k looks at all rows, in blocks.
 
@@ -22,23 +23,36 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, table
 from tessera.llm.cross_polytope import axes, grouped, matrix, prepared, rotate
 
-TABLES, PROBES, MEMBERS, QUERIES = 16, 20, 8192, 1024
+TABLES, PROBES, MEMBERS, QUERIES, EXACT = 16, 20, 8192, 1024, 512
 
 
-def _codes(scale: float, probes: int, tables: int):
+def _codes(ranges: dict[int, tuple[int, float, int]], probes: int, tables: int):
+    """Codes of stored vectors (id, v, r; probes is 1) in their range r, of queries (id, v) in every range; ranges: number,
+    largest norm and rows of each."""
+
+    def hashed(x, n):
+        return np.concatenate([axes(rotate(x, 100 + t), probes).astype(np.int64) + (n * tables + t << 20) for t in range(tables)], axis=1)
+
+    def stored(x, r):
+        n, scale, rows = ranges[r]
+        if rows <= EXACT:
+            return np.full((len(x), 1), -1 - n, np.int64)
+        x = x / scale
+        return hashed(np.column_stack((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1))))), n)
+
+    def asked(x):
+        x = np.column_stack((x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))))
+        return np.concatenate([np.full((len(x), 1), -1 - n, np.int64) if rows <= EXACT else hashed(x, n) for n, _, rows in ranges.values()], axis=1)
+
     def run(batches):
         for batch in batches:
-            x = matrix(batch.column(1))
-            if not len(x):
-                continue
-            if probes == 1:
-                x = x / scale
-                x = np.column_stack((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))))
-            else:
-                x = np.column_stack((x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))))
-            codes = np.concatenate([axes(rotate(x, 100 + t), probes) + (t << 20) for t in range(tables)], axis=1)
-            n = codes.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * n + 1, n, dtype=np.int32)), pa.array(codes.ravel().astype(np.int32)))], ["id", "v", "codes"])
+            r = np.asarray(batch.column(2)) if probes == 1 else np.zeros(batch.num_rows, int)
+            for part in np.unique(r):
+                of = batch.take(pa.array(np.flatnonzero(r == part)))
+                x = matrix(of.column(1))
+                codes = stored(x, int(part)) if probes == 1 else asked(x)
+                n = codes.shape[1]
+                yield pa.RecordBatch.from_arrays([of.column(0), of.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * n + 1, n, dtype=np.int32)), pa.array(codes.ravel()))], ["id", "v", "codes"])
 
     return run
 
@@ -71,7 +85,7 @@ def _best(k: int):
 
 
 def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Best of every group of queries (id, v, codes) and rows (id, v, codes); groups are few: tables times axes."""
+    """Best of every group of queries (id, v, codes) and rows (id, v, codes); groups are few: ranges times tables times axes."""
     q, x = (d.select("id", "v", F.explode("codes").alias("code")) for d in (queries, rows))
     sizes = q.select("code", F.lit(1).alias("a"), F.lit(0).alias("b")).union(x.select("code", F.lit(0), F.lit(1))).groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0 and b > 0")
     sizes = F.broadcast(sizes.select("code", F.ceil(F.col("a") / QUERIES).cast("int").alias("qb"), F.ceil(F.col("b") / MEMBERS).cast("int").alias("xb")))
@@ -88,14 +102,18 @@ def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows (vec_id, embedding) of largest inner product found for each query."""
     base = prepared(rows)
-    scale = base.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))).first()[0] or 1.0
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
+    # Rounded, so that unit vectors are in the middle of a range; bounded, so that squares may overflow or vanish.
+    part = F.round(F.log2(F.least(F.greatest(norm, F.lit(1e-150)), F.lit(1e150)))).cast("int")
+    sizes = base.groupBy(part.alias("r")).agg(F.max(norm), F.count("*")).orderBy("r").collect()
+    ranges = {r: (n, scale or 1.0, rows) for n, (r, scale, rows) in enumerate(sizes)}
     asked = prepared(queries).select(F.col("vec_id").cast("long").alias("id"), "v")
-    stored = base.select(F.col("vec_id").cast("long").alias("id"), "v")
-    schema = "id long, v array<double>, codes array<int>"
-    found = materialize(_search(asked.mapInArrow(_codes(scale, probes, tables), schema), stored.mapInArrow(_codes(scale, 1, tables), schema), k), "neighbours")
+    stored = base.select(F.col("vec_id").cast("long").alias("id"), "v", part.alias("r"))
+    schema = "id long, v array<double>, codes array<long>"
+    found = materialize(_search(asked.mapInArrow(_codes(ranges, probes, tables), schema) if ranges else asked.select("id", "v", F.array().cast("array<long>").alias("codes")), stored.mapInArrow(_codes(ranges, 1, tables), schema), k), "neighbours")
     few = materialize(asked.join(found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k), "id", "left_anti"), "few")
     if few.head(1):
-        one = F.array(F.lit(0)).alias("codes")
+        one = F.array(F.lit(0).cast("long")).alias("codes")
         rest = _search(few.select("id", "v", one), stored.select("id", "v", one), k)
         found = found.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select("query_id", "vec_id", "score", "rank").union(rest.select("query_id", "vec_id", "score", "rank"))
     return found.select("query_id", "rank", "vec_id", "score")

@@ -231,6 +231,24 @@ def test_search_recall_and_shape(spark, cloud):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["outlier", "spread"])
+def test_search_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.where(np.arange(1500) == 7, 10, 1)[:, None] if norms == "outlier" else rng.lognormal(0, 1, (1500, 1))
+    rows = vectors(spark, x.tolist())
+    got = ann.nearest(rows, rows.where("vec_id % 20 = 0")).collect()
+    x = x.astype(np.float32).astype(np.float64)
+    found = {(r.query_id, r.vec_id) for r in got}
+    hit = 0
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += sum((q, int(v)) in found for v in np.argsort(-s)[:20])
+    assert len(got) == 1500 and hit / 1500 >= 0.95
+
+
 def test_vector_links_match_brute_force(spark, cloud):
     labels = [None if i % 50 == 1 else 0 if i < 600 else i % 2 for i in range(len(cloud))]
     got = {r.vec_id: r for r in vector_dedup.near_vectors(vectors(spark, cloud, labels)).collect()}
