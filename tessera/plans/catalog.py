@@ -508,3 +508,71 @@ def task_fold(spark, d):
 def html_chunks(spark, d):
     pages = read(spark, d, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.col("html").alias("text"))
     return chunk.chunks(pages, chunk.CHUNKERS["html"])
+
+
+# The searches again, for every row whose id is divisible by 50.
+_Q50, _I50 = "vec_id % 50 = 0", "item_id % 50 = 0"
+
+
+def _dense50(spark, d, k=10):
+    return dense.dense_topk(plain(spark, d), vector_queries(spark, d, _Q50), k)
+
+
+@query(_dense_sql(_q(_Q50), _ROWS, 10))
+def dense_topk_every50(spark, d):
+    return shown(_dense50(spark, d))
+
+
+def _filtered50(spark, d, given):
+    r = rows(spark, d)
+    return shown(dense.dense_topk(r, vector_queries(spark, d, _Q50), 10, matches(given, {c: r[c] for c in ("lang", "source", "toxic")})))
+
+
+@query(_dense_sql(_q(_Q50), _joined("lang = 'de'"), 10))
+def dense_filter_eq_every50(spark, d):
+    return _filtered50(spark, d, {"lang": "de"})
+
+
+@query(_dense_sql(_q(_Q50), _joined("lang IN ('de', 'fr')"), 10))
+def dense_filter_in_every50(spark, d):
+    return _filtered50(spark, d, {"lang": ["de", "fr"]})
+
+
+@query(_dense_sql(_q(_Q50), _joined("lang = 'en' AND source IN ('src1', 'src2')"), 10))
+def dense_filter_and_every50(spark, d):
+    return _filtered50(spark, d, {"lang": "en", "source": ["src1", "src2"]})
+
+
+@query(_dense_sql(_q(_Q50), _joined("toxic IS NULL OR toxic = 1"), 10))
+def dense_filter_missing_key_every50(spark, d):
+    return _filtered50(spark, d, {"toxic": [None, 1]})
+
+
+@query(_dense_sql(_q(_Q50), _joined("false"), 10))
+def dense_filter_empty_list_every50(spark, d):
+    return _filtered50(spark, d, {"lang": []})
+
+
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings q WHERE q.{_Q50}")
+def cosine_scalar_every50(spark, d):
+    e, q = read(spark, d, "embeddings"), vector_queries(spark, d, _Q50)
+    return e.join(F.broadcast(q)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
+
+
+@query("WITH " + _bm25_sql("true", 10, "lang = 'en'") + " SELECT query_id, id, round(score, 6) AS score, rank FROM keyword")
+def bm25_filter_after_score_all(spark, d):
+    return shown(keyword.keyword_topk(documents(spark, d), text_queries(spark, d, "true"), 10, F.col("lang") == "en"))
+
+
+@query(f"WITH {_BM_EMB.replace('item_id < 8', 'true')}, {_VEC.replace('b.item_id < 8', 'true')}, {_FUSED} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(fusion_score, 9) AS fusion_score, vector_rank, keyword_rank, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score FROM g WHERE rank <= 5")
+def hybrid_topk_all(spark, d):
+    """Every benchmark text that has a vector of its id."""
+    r = rows(spark, d).select("id", "text", "embedding")
+    q = text_queries(spark, d, "true").join(vector_queries(spark, d, "true"), "query_id")
+    return retrieve.retrieve(r, q, "hybrid", 5)[0].select("query_id", "rank", "id", F.round("fusion_score", 9).alias("fusion_score"), "vector_rank", "keyword_rank", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@query(_REV.replace("vec_id < 5", _Q50))
+def rerank_reverse_every50(spark, d):
+    hits = shown(_dense50(spark, d)).withColumn("pos", F.col("rank") - 1).drop("rank")
+    return rerank.apply_scores(hits, hits.select("query_id", "pos", F.col("pos").cast("double").alias("score"))).select("query_id", "id", "rank")
