@@ -55,7 +55,8 @@ def mime_type(name: Column) -> Column:
 
 
 def data_url(mime: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """Base64 in one line: Spark may break it into lines of 76."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def from_data_url(url: Column) -> Column:

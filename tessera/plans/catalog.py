@@ -482,6 +482,13 @@ def data_urls(spark, d):
     return read(spark, d, "documents").select("doc_id", url.alias("url"), F.decode(T.from_data_url(url), "UTF-8").alias("back"))
 
 
+@query("SELECT doc_id, sha256('data:image/png;base64,' || base64(encode(text))) AS url_sha256, sha256(text) AS back_sha256 FROM documents")
+def data_urls_whole(spark, d):
+    url = T.data_url(T.mime_type(F.lit("a.PNG")), F.encode("text", "UTF-8"))
+    back = F.decode(T.from_data_url(url), "UTF-8")
+    return read(spark, d, "documents").select("doc_id", F.sha2(url, 256).alias("url_sha256"), F.sha2(back, 256).alias("back_sha256"))
+
+
 @query("SELECT conv_id, '| role | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || role || ' | ' || CAST(n AS VARCHAR) || ' |', chr(10) ORDER BY role) AS md FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
 def table_to_markdown(spark, d):
     n = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").cast("string").alias("n"))
