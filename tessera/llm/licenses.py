@@ -1,10 +1,11 @@
 """Licence scans, in DataFrame functions only.
 
-Paragraphs (lines, and sentences of long lines) with a licence word are classified by a sparse logistic regression over
+Paragraphs (the sentences of every line, and a line as a whole where none of its sentences is confirmed) with a licence
+word are classified by a sparse logistic regression over
 their word 1- to 3-grams. It is trained on the driver from the templates below and from everyday sentences with the same
 words (the unknown class), with words dropped for robustness; its softmax is calibrated by a temperature on held-out
 variants, and a family counts only above THRESHOLD. A prediction is confirmed by comparison with the family's templates:
-at least half of the paragraph's 3-grams, or four of them, are theirs. Distinct paragraphs are classified once, however
+at least half of the paragraph's 3-grams, or four of them, are theirs, or it holds SHARE of those of one template. Distinct paragraphs are classified once, however
 many documents hold them; the model is a table of a few thousand grams, whose size the templates fix.
 
 Cases: null and empty texts, and texts without a licence, have the licence "none"; null doc_id is kept (its rows are taken
@@ -19,12 +20,12 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-THRESHOLD, CONFIRM, LONG = 0.6, 0.5, 400
+THRESHOLD, CONFIRM, SHARE = 0.6, 0.5, 0.6
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache 2.0 license."],
     "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
@@ -98,39 +99,47 @@ def _grams(words, n: int):
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """(paragraph, family, probability, confirmed) of a table of distinct paragraphs."""
+    """(key, family, probability, confirmed) of a table of distinct paragraphs (key, paragraph)."""
     spark = paragraphs.sparkSession
     weights, bias = train()
     model = _constants(spark, [{"gram": g, "w": w} for g, w in weights.items()], "gram: string, w: array<double>")
-    shapes = [{"gram": g, "families": sorted(f for f, texts in TEMPLATES.items() if any(g in grams(t) for t in texts))} for g in sorted(set().union(*(grams(t) for texts in TEMPLATES.values() for t in texts))) if g.count(" ") == 2]
-    shapes = _constants(spark, shapes, "gram: string, families: array<string>")
+    threes = [(f, sorted(g for g in grams(t) if g.count(" ") == 2)) for f, texts in TEMPLATES.items() for t in texts]
+    shapes = [{"gram": g, "families": sorted({f for f, of in threes if g in of}), "templates": [i for i, (_, of) in enumerate(threes) if g in of]} for g in sorted({g for _, of in threes for g in of})]
+    shapes = _constants(spark, shapes, "gram: string, families: array<string>, templates: array<int>")
     words = F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), F.lit(0))
     held = paragraphs.withColumn("words", words)
     held = held.withColumn("grams", F.array_distinct(F.concat(_grams(F.col("words"), 1), _grams(F.col("words"), 2), _grams(F.col("words"), 3)))).drop("words")
-    each = held.select("paragraph", F.greatest(F.size("grams"), F.lit(1)).alias("n"), F.explode_outer("grams").alias("gram"))
+    each = held.select("key", F.greatest(F.size("grams"), F.lit(1)).alias("n"), F.explode_outer("grams").alias("gram"))
     joined = each.join(F.broadcast(model), "gram", "left").join(F.broadcast(shapes), "gram", "left")
     k = len(FAMILIES)
-    sums = joined.groupBy("paragraph", "n").agg(
+    sums = joined.groupBy("key", "n").agg(
         *[F.sum(F.coalesce(F.get("w", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in range(k)],
         *[F.count_if(F.array_contains("families", f)).alias(f"m{i}") for i, f in enumerate(FAMILIES[:-1])],
         F.count_if(F.size(F.split("gram", " ")) == 3).alias("threes"),
+        F.flatten(F.collect_list("templates")).alias("seen"),
     )
     z = F.array(*[F.struct((F.col(f"s{i}") / F.sqrt("n") + F.lit(bias[i])).alias("z"), F.lit(-i).alias("order"), F.lit(f).alias("family"), (F.col(f"m{i}") if i < k - 1 else F.lit(0).cast("long")).alias("match")) for i, f in enumerate(FAMILIES)])
     best = sums.withColumn("z", z).withColumn("top", F.array_max("z"))
     probability = 1 / F.aggregate("z", F.lit(0.0), lambda a, e: a + F.exp(e["z"] - F.col("top.z")))
     confirmed = (F.col("top.match") >= F.lit(CONFIRM) * F.greatest("threes", F.lit(1))) | (F.col("top.match") >= 4)
-    return best.select("paragraph", F.col("top.family").alias("family"), probability.alias("probability"), (confirmed & (F.col("top.family") != "unknown") & (probability >= THRESHOLD)).alias("confirmed"))
+    for family, own in ((f, [(i, len(of)) for i, (g, of) in enumerate(threes) if g == f and of]) for f in sorted(TEMPLATES)):
+        held_by = [F.size(F.filter("seen", lambda x, i=i: x == i)) >= SHARE * total for i, total in own]
+        confirmed = confirmed | ((F.col("top.family") == family) & F.greatest(*held_by, F.lit(False)))
+    return best.select("key", F.col("top.family").alias("family"), probability.alias("probability"), (confirmed & (F.col("top.family") != "unknown") & (probability >= THRESHOLD)).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license (most paragraphs, then first by name; "none"), families, n_paragraphs, confidence."""
     text = F.col("text").cast("string")
     lines = docs.where(text.rlike(TRIGGER)).select("doc_id", F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(TRIGGER))
-    parts = lines.select("doc_id", F.explode(F.when(F.length("line") > LONG, F.split("line", SPLIT)).otherwise(F.array("line"))).alias("paragraph"))
-    parts = parts.where(F.col("paragraph").rlike(TRIGGER)).select("doc_id", F.trim("paragraph").alias("paragraph"))
-    found = parts.groupBy("doc_id", "paragraph").count()
-    known = classify(parts.select("paragraph").distinct()).where("confirmed")
-    hits = found.join(known, "paragraph").groupBy("doc_id", "family").agg(F.sum("count").alias("n"), F.max("probability").alias("p"))
+    split = lines.select("doc_id", F.md5("line").alias("at"), "line", F.split("line", SPLIT).alias("of"))
+    one = lambda p, whole: F.struct(F.trim(p).alias("paragraph"), F.lit(whole).alias("whole"))
+    units = F.concat(F.transform("of", lambda p: one(p, False)), F.when(F.size("of") > 1, F.array(one(F.col("line"), True))).otherwise(F.array().cast("array<struct<paragraph:string,whole:boolean>>")))
+    parts = split.select("doc_id", "at", F.explode(units).alias("u")).select("doc_id", "at", "u.*").where(F.col("paragraph").rlike(TRIGGER)).withColumn("key", F.md5("paragraph"))
+    found = parts.groupBy("doc_id", "at", "key", "whole").count()
+    known = classify(parts.select("key", "paragraph").distinct()).where("confirmed")
+    first = F.min("whole").over(Window.partitionBy("doc_id", "at"))
+    hits = found.join(known, "key").withColumn("first", first).where(F.col("whole") == F.col("first")).groupBy("doc_id", "family").agg(F.sum("count").alias("n"), F.max("probability").alias("p"))
     per = hits.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(-F.col("n"), "family", "p")).alias("first"), F.array_sort(F.collect_set("family")).alias("families"), F.sum("n").alias("n"), F.lit(True).alias("has"))
     out = docs.select("doc_id").join(per, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("has"), "left")
     return out.select("doc_id", F.coalesce("first.family", F.lit("none")).alias("license"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.round(F.coalesce("first.p", F.lit(0.0)), 6).alias("confidence"))

@@ -375,6 +375,14 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_within_short_lines(spark):
+    prose = "We wrote this in a day and a night. It rained. "
+    given = [prose + "Released under the MIT License.", prose + "Licensed under CC BY 4.0. Thank you all for reading it.", "Copyright 2020 Acme. All rights reserved.", prose + "Nobody reads a license anyway.", "x " * 300 + ". Released under the MIT License."]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, given)).collect()}
+    assert [got[i].license for i in range(5)] == ["MIT", "CC-BY", "Proprietary", "none", "MIT"]
+    assert all(got[i].n_paragraphs == 1 for i in (0, 1, 2, 4))
+
+
 # pipeline
 
 
