@@ -52,7 +52,7 @@ PATTERNS = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What every mention holds; texts without it are passed over cheaply.
-HINT = rf"[0-9@=:]|(?<!\p{{L}})(?:{_ANY_NAME}) \p{{Lu}}"
+HINT = rf"[0-9@=:]|AKIA|gh[pousr]_|sk_live_|sk-|xox[bap]-|(?<!\p{{L}})(?:{_ANY_NAME}) \p{{Lu}}"
 WHOLE = {t: rf"^(?:{p})$" for t, p in PATTERNS}
 WHOLE |= {"card": r"^[0-9][0-9 \-]{14,18}$", "phone": r"^[+(]?[0-9][0-9 ()+.\-]+$", "email": "@", "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "hex": r"^[0-9a-f]+$", "secret": r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|sk_live_|sk-|xox[bap]-)", "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$", "person": r"^\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$"}
 

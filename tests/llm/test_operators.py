@@ -308,6 +308,12 @@ def test_surrogates(spark):
     assert pii.rewrite(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_letters_alone(spark):
+    keys = ["AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrst", "sk_live_" + "abcdefghijklmnopqrst", "sk-" + "abcdefghijklmnopqrst", "xoxb-" + "abcdefghijklmnopqrst"]
+    got = pii.rewrite(frame(spark, [f"the key {k} stays here" for k in keys])).collect()
+    assert len(got) == 5 and not any(keys[r.doc_id] in r.text for r in got)
+
+
 def test_clashing_surrogates_draw_again(spark):
     forms = spark.createDataFrame([("ssn", f"{k:09d}", f"{k:03d}-00-0000") for k in range(3)], "t string, c string, m string")
     assert pii.draws(forms) is None
