@@ -18,14 +18,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, mix, slices, table, utf8
 
 LENGTH, SEPARATOR, BITS, DIMS = 2048, 1, 10, 3
-#: Words that a worker's cache holds; a full cache starts anew.
-CACHE_WORDS = 1_000_000
+#: Bytes of text that a worker splits at a time; words that its cache holds (a full one starts anew).
+SLICE, CACHE_WORDS = 8_000_000, 1_000_000
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?$"
 _state: dict = {}
 
 
@@ -63,78 +65,103 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         size = 1 << 16
         # 256 hashed dimensions with signs, then a fixed projection to DIMS: one row of the product for each id
         h = mix(np.arange(size, dtype=np.uint64))
         plane = np.random.default_rng(7).standard_normal((256, DIMS)).astype(np.float32)
         ends = np.zeros(size, bool)
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        _state.update(path=path, ends=ends, tokenizer=tokenizer, words={}, plane=plane[(h & np.uint64(255)).astype(np.int64)] * np.where(h >> np.uint64(63), 1, -1).astype(np.float32)[:, None])
+        marks = {x: tokenizer.encode(x, add_special_tokens=False).ids[0] for x in ".,"}
+        _state.update(path=path, ends=ends, tokenizer=tokenizer, marks=marks, cache={}, flat=np.zeros(1 << 16, np.uint16), used=0, start=np.zeros(1 << 12, np.int64), size=np.zeros(1 << 12, np.int64), plane=plane[(h & np.uint64(255)).astype(np.int64)] * np.where(h >> np.uint64(63), 1, -1).astype(np.float32)[:, None])
     return _state
 
 
-def _cut(words: list[str], s: dict) -> list[bytes]:
-    """Ids of words encoded in one call. A word of letters alone is one run for the tokenizer, so it ends where a
-    token with the end mark does; other words are cut at their offsets."""
-    if not words:
-        return []
+def _cut(words: list[str], s: dict, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each word) of words encoded in one call. A word of letters alone is one run for the
+    tokenizer, so it ends where a token with the end mark does; other words are cut at their offsets."""
     e = s["tokenizer"].encode(" ".join(words), add_special_tokens=False)
     ids = np.array(e.ids, np.uint16)
-    cuts = np.flatnonzero(s["ends"][ids]) + 1
-    if len(cuts) == len(words) and all(map(str.isalpha, words)):
-        edges = np.concatenate(([0], cuts))
+    if letters:
+        edges = np.concatenate(([0], np.flatnonzero(s["ends"][ids]) + 1))
     else:
         at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
         edges = np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in words]))
-    data, edges = ids.tobytes(), (edges * 2).tolist()
-    return [data[a:b] for a, b in zip(edges, edges[1:])]
-
-
-def _learn(missing: set[str], s: dict) -> None:
-    """Encode words and keep their ids. A comma or full stop after a letter is a token of its own and ASCII case is
-    dropped, so such words share the ids of their stems."""
-    cache, new, plan = s["words"], set(), []
-    for w in missing:
-        base = w
-        if w and w[-1] in ",." and w[-2:-1].isalpha():
-            base = w[:-1]
-            end = w[-1]
-        else:
-            end = ""
-        if base.isascii():
-            base = base.lower()
-        if base is not w:
-            plan.append((w, base, end))
-        if base not in cache:
-            new.add(base)
-    cache[""] = b""
-    for x in ",.":
-        cache.setdefault(x, _cut([x], s)[0])
-    letters = [w for w in new if w.isalpha()]
-    others = list(new - set(letters) - {"", ",", "."})
-    for part in (p[i : i + 20_000] for p in (letters, others) for i in range(0, len(p), 20_000)):
-        cache.update(zip(part, _cut(part, s)))
-    for w, base, end in plan:
-        cache[w] = cache[base] + cache[end] if end else cache[base]
-
-
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 16-bit ids of each text, with the separator. A blank or line feed always ends a word
-    for this tokenizer, so words between them are encoded once and kept."""
-    s = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    cache = s["words"]
+    return ids, np.diff(edges)
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + size) of flat, one after another."""
+    to = np.cumsum(size)
+    return flat[np.repeat(start - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
+
+
+def _known(stems: pa.Array, letters: bool, s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, start, size) of distinct stems: from the worker's cache, or encoded and kept there."""
+    given = stems.to_pylist()
+    cache = s["cache"]
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    get, tail = cache.get, np.array([SEPARATOR], np.uint16).tobytes()
-    found = [list(map(get, w)) for w in split]
-    short = [k for k, ids in enumerate(found) if None in ids]
-    if short:
-        _learn({w for k in short for w, ids in zip(split[k], found[k]) if ids is None}, s)
-        for k in short:
-            found[k] = map(get, split[k])
-    return [b"".join(ids) + tail for ids in found]
+        s.update(flat=np.zeros(1 << 16, np.uint16), used=0, start=np.zeros(1 << 12, np.int64), size=np.zeros(1 << 12, np.int64))
+    missing = [w for w in given if w not in cache]
+    for i in range(0, len(missing), 20_000):
+        part = missing[i : i + 20_000]
+        ids, size = _cut(part, s, letters)
+        n, end = len(cache), s["used"] + len(ids)
+        while len(s["flat"]) < end:
+            s["flat"] = np.concatenate((s["flat"], np.zeros_like(s["flat"])))
+        while len(s["start"]) < n + len(part):
+            s["start"], s["size"] = (np.concatenate((s[k], np.zeros_like(s[k]))) for k in ("start", "size"))
+        s["flat"][s["used"] : end] = ids
+        s["start"][n : n + len(part)] = s["used"] + np.cumsum(size) - size
+        s["size"][n : n + len(part)] = size
+        s["used"] = end
+        cache.update(zip(part, range(n, n + len(part))))
+    at = np.fromiter(map(cache.__getitem__, given), np.int64, len(given))
+    return s["flat"], s["start"][at], s["size"][at]
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, edges): unsigned 16-bit ids of all texts, each with the separator, and where each text begins and ends.
+
+    White space always ends a word for this tokenizer, so texts are split there, and each distinct word is looked up
+    once a slice. A word of Latin-1 letters (one run for the tokenizer; case is dropped) with at most one comma or full
+    stop after it (a token of its own) has the ids of its stem; all others are encoded as they are."""
+    s = _tokenizer(path)
+    for blank in "\n\t\r":
+        texts = pc.replace_substring(texts, blank, " ")
+    split = pc.split_pattern(texts, " ")
+    words = split.flatten().dictionary_encode()
+    distinct, index = words.dictionary, np.asarray(words.indices)
+    plain = np.asarray(pc.match_substring_regex(distinct, LETTERS))
+    # distinct words as ranges of one array: first those of letters by their stems, then the others
+    flat, size = [], np.zeros(len(distinct), np.int64)
+    for letters in (True, False):
+        rows = np.flatnonzero(plain == letters)
+        if not len(rows):
+            continue
+        these = distinct.take(pa.array(rows))
+        stems = (pc.utf8_lower(pc.utf8_rtrim(these, ".,")) if letters else these).dictionary_encode()
+        ids, start, n = _known(stems.dictionary, letters, s)
+        of = np.asarray(stems.indices)
+        start, n = start[of], n[of]
+        if letters:
+            for mark in ".,":
+                own = np.asarray(pc.ends_with(these, mark))
+                size[rows[own]] = n[own] + 1
+                flat.append((rows[own], np.insert(_gather(ids, start[own], n[own]), np.cumsum(n[own]), s["marks"][mark])))
+            rest = ~np.asarray(pc.match_substring_regex(these, "[.,]$"))
+            rows, start, n = rows[rest], start[rest], n[rest]
+        size[rows] = n
+        flat.append((rows, _gather(ids, start, n)))
+    start = np.zeros(len(distinct), np.int64)
+    used = 0
+    for rows, part in flat:
+        start[rows] = used + np.cumsum(size[rows]) - size[rows]
+        used += len(part)
+    n = size[index]
+    upto = np.concatenate(([0], np.cumsum(n)))[np.cumsum(np.asarray(pc.list_value_length(split)))]
+    ids = np.insert(_gather(np.concatenate([x for _, x in flat]), start[index], n), upto, SEPARATOR)
+    return ids, np.concatenate(([0], upto + np.arange(1, len(upto) + 1)))
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -143,14 +170,13 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets):
-                ids = token_ids([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], path)
-                plane = _tokenizer(path)["plane"]
-                edges = np.cumsum([0] + [len(x) // 2 for x in ids])[:-1]
-                v = np.add.reduceat(plane[np.frombuffer(b"".join(ids), np.uint16)], edges, axis=0)
+            for a, b in slices(offsets, SLICE):
+                ids, edges = token_ids(pc.fill_null(batch.column(1).slice(a, b - a), "").cast(pa.large_string()), path)
+                v = np.add.reduceat(_tokenizer(path)["plane"][ids], edges[:-1], axis=0)
                 v /= np.maximum(np.abs(v).max(1, keepdims=True), 1e-9)
                 key = hilbert(((v + 1) * ((1 << BITS) - 1) / 2).round())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(key, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "key", "ids"])
+                stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(edges * 2), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(edges)), pa.array(key, pa.int64()), stored], ["doc_id", "n", "key", "ids"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key long, ids binary")
 
