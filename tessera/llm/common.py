@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python worker turns into numpy arrays at a time; a longer text is one slice of its own.
 SLICE_BYTES = 2_000_000
 M64 = (1 << 64) - 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,28 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. The shuffle files
+    of the write are deleted at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more, and let Spark's cleaner drop the shuffle files of what was
-    computed before them (it waits for the driver's garbage collection)."""
+    """Delete materialized tables that nothing reads any more."""
     spark = tables[0].sparkSession
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of finished jobs now."""
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

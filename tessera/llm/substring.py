@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm.common import discard, grams, materialize, mix, release, slices, table, utf8, words
+from tessera.llm.common import discard, grams, materialize, mix, slices, table, utf8, words
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
@@ -141,27 +141,27 @@ def _representatives(h, row):
     return at[:n][ok], least[ok]
 
 
-_INPUT = "doc long, tag long, text string"
+ROW = ["ta", "tb"]
 
 
 def _emit_grams(batches):
     for batch in batches:
-        data, offsets = utf8(batch.column(2))
-        doc = np.asarray(batch.column(0))
+        data, offsets = utf8(batch.column(3))
+        ta = np.asarray(batch.column(1))
         for a, b in slices(offsets, 500_000):
             _, _, row, h = words(data, offsets[a : b + 1])
             at, rep = _representatives(h, row)
             row = row[at]
             new = np.ones(len(at), bool)
             new[1:] = (rep[1:] != rep[:-1]) | (row[1:] != row[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(rep[new].view(np.int64)), pa.array(doc[a:b][row[new]])], ["rep", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[new].view(np.int64)), pa.array(ta[a:b][row[new]])], ["rep", "ta"])
 
 
 def _emit_segments(batches):
     for batch in batches:
-        data, offsets = utf8(batch.column(2))
-        doc, tag = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        reps = batch.column(3)
+        data, offsets = utf8(batch.column(3))
+        doc, ta, tb = (np.asarray(batch.column(k)) for k in range(3))
+        reps = batch.column(4)
         values, edges = np.asarray(reps.flatten()).view(np.uint64), np.concatenate(([0], np.cumsum(np.asarray(reps.value_lengths()))))
         for a, b in slices(offsets, 500_000):
             _, _, row, h = words(data, offsets[a : b + 1])
@@ -187,37 +187,38 @@ def _emit_segments(batches):
             size = np.diff(np.append(start, n))
             place = (index - np.repeat(start, size)).astype(np.uint64)
             whole = np.add.reduceat(mix(window ^ (place * np.uint64(0xA24BAED4963EE407))), start)
-            where = (at[start] - first[r[start]]) << 28 | size << 24 | tag[a:b][r[start]]
+            of = r[start]
+            where = (at[start] - first[of]) << 4 | size
             windows = pa.ListArray.from_arrays(pa.array(np.append(start, n).astype(np.int32)), pa.array(window.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[start].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[a:b][r[start]]), pa.array(where), windows], ["rep", "seg", "doc", "at", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[start].view(np.int64)), pa.array(whole.view(np.int64)), *[pa.array(x[a:b][of]) for x in (doc, ta, tb)], pa.array(where), windows], ["rep", "seg", "doc", "ta", "tb", "at", "windows"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc, tag, hits): of the windows of a document that an earlier one has, first word << 9 | which of the next SPAN,
-    from (doc, tag, text)."""
-    seen = materialize(docs.mapInArrow(_emit_grams, "rep long, doc long"), "grams")
-    shared = seen.groupBy("rep").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("rep")
-    reps = materialize(seen.join(shared, "rep", "left_semi").groupBy("doc").agg(F.collect_set("rep").alias("reps")), "reps")
+    """(ta, tb, hits): of the windows of a row that an earlier document has, first word << 9 | which of the next SPAN,
+    from (doc, ta, tb, text): a document's number, 128 bits of number and text that name the row, its text.
+
+    What is shared is first found on half of the name: rows that agree in it by chance only make more candidates."""
+    seen = materialize(docs.mapInArrow(_emit_grams, "rep long, ta long"), "grams")
+    shared = seen.groupBy("rep").agg(F.min("ta").alias("lo"), F.max("ta").alias("hi")).where("lo < hi").select("rep")
+    reps = materialize(seen.join(shared.hint("merge"), "rep", "left_semi").groupBy("ta").agg(F.collect_set("rep").alias("reps")), "reps")
     discard(seen)
-    segments = docs.join(reps, "doc").select("doc", "tag", "text", "reps").mapInArrow(_emit_segments, "rep long, seg long, doc long, at long, windows array<long>")
+    segments = docs.join(reps.hint("merge"), "ta").select("doc", "ta", "tb", "text", "reps").mapInArrow(_emit_segments, "rep long, seg long, doc long, ta long, tb long, at long, windows array<long>")
     segments = materialize(segments, "segments")
     discard(reps)
     # A segment that an earlier document has whole is settled; windows are compared only under representatives with
     # several different segments, once for each segment.
     first = materialize(segments.groupBy("rep", "seg").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("windows").alias("windows")), "first")
-    release(docs.sparkSession)
     several = first.groupBy("rep").count().where("count > 1").select("rep")
-    each = first.join(several, "rep", "left_semi").select("rep", "seg", "lo", F.posexplode("windows").alias("place", "window"))
+    each = first.join(several.hint("merge"), "rep", "left_semi").select("rep", "seg", "lo", F.posexplode("windows").alias("place", "window"))
     owner = each.groupBy("rep", "window").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("rep", "window", "least")
-    late = materialize(each.join(owner, ["rep", "window"]).where("least < lo").groupBy("rep", "seg").agg(F.expr("bit_or(cast(shiftleft(1, place) as long))").alias("mask")), "late")
-    release(docs.sparkSession)
-    marked = first.select("rep", "seg", "lo", "hi").join(late, ["rep", "seg"], "left").where("lo < hi or mask is not null").select("rep", "seg", "lo", "mask")
-    hit = segments.select("rep", "seg", "doc", "at").join(marked, ["rep", "seg"])
-    every = F.expr("shiftleft(1L, cast(shiftright(at, 24) & 15 as int)) - 1")
+    late = materialize(each.join(owner.hint("merge"), ["rep", "window"]).where("least < lo").groupBy("rep", "seg").agg(F.expr("bit_or(cast(shiftleft(1, place) as long))").alias("mask")), "late")
+    marked = materialize(first.select("rep", "seg", "lo", "hi").join(late.hint("merge"), ["rep", "seg"], "left").where("lo < hi or mask is not null").select("rep", "seg", "lo", "mask"), "marked")
+    discard(first, late)
+    hit = segments.select("rep", "seg", "doc", *ROW, "at").join(marked.hint("merge"), ["rep", "seg"])
+    every = F.expr("shiftleft(1L, cast(at & 15 as int)) - 1")
     hit = hit.withColumn("mask", F.when(F.col("lo") < F.col("doc"), every).otherwise(F.coalesce("mask", F.lit(0)))).where("mask <> 0")
-    hits = hit.groupBy("doc", F.col("at").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_list(F.expr("shiftleft(shiftright(at, 28), 9) | mask")).alias("hits"))
-    hits = materialize(hits, "hits")
-    discard(segments, first, late)
+    hits = materialize(hit.groupBy(*ROW).agg(F.collect_list(F.expr("shiftleft(shiftright(at, 4), 9) | mask")).alias("hits")), "hits")
+    discard(segments, marked)
     return hits
 
 
@@ -232,9 +233,11 @@ def _spans(hits, n: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame):
-    """(doc, tag, text) columns: a document's number, 24 bits of its text's hash (a doc_id may repeat), its text."""
+    """(doc, ta, tb, text) columns: a document's number, the row's name (128 bits of number and text, since a doc_id may
+    be null or repeated), its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("tag"), text.alias("text")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return doc.alias("doc"), *[F.xxhash64(F.lit(seed), doc, text).alias(name) for seed, name in enumerate(ROW, 1)], text.alias("text")
 
 
 def remove_earlier(docs: DataFrame) -> DataFrame:
@@ -261,8 +264,7 @@ def remove_earlier(docs: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["given", "body"])
 
-    doc, tag, _ = _keyed(docs)
-    joined = docs.select(F.struct("*").alias("given"), doc, tag).join(repeated(docs.select(*_keyed(docs))), ["doc", "tag"], "left").select("given", "hits")
+    joined = docs.select(F.struct("*").alias("given"), *_keyed(docs)[1:3]).join(repeated(docs.select(*_keyed(docs))).hint("merge"), ROW, "left").select("given", "hits")
     done = joined.mapInArrow(run, joined.drop("hits").schema.add("body", "string"))
     columns = [F.col("body").alias("text") if c == "text" else F.col("given")[c].alias(c) for c in docs.columns]
     return done.select(*columns)
@@ -286,7 +288,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     keyed = docs.select("doc_id", *_keyed(docs))
-    joined = keyed.join(repeated(keyed.drop("doc_id")), ["doc", "tag"], "left").select("doc_id", "text", "hits")
+    joined = keyed.join(repeated(keyed.drop("doc_id")).hint("merge"), ROW, "left").select("doc_id", "text", "hits")
     return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
