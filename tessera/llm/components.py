@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,17 +23,19 @@ def components(edges: DataFrame) -> DataFrame:
         while True:  # follow pointers to their roots, twice as far each time
             up = least.toDF("p", "pp")
             far = materialize(least.join(up, "p").select("id", F.col("pp").alias("q"), (F.col("pp") != F.col("p")).alias("moved")), "far")
+            discard(least)
             least = far.select("id", F.col("q").alias("p"))
             if not far.where("moved").head(1):
                 break
         if labels is None:
-            labels = least.withColumnRenamed("p", "component")
+            labels = materialize(least.withColumnRenamed("p", "component"), "labels")
         else:
             step = least.withColumnRenamed("id", "component")
-            labels = labels.join(step, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
-        labels = materialize(labels, "labels")
+            older, labels = labels, materialize(labels.join(step, "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
+            discard(older)
         pa, pb = least.toDF("a", "pa"), least.toDF("b", "pb")
-        edges = materialize(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        older, edges = edges, materialize(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(older, least)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels

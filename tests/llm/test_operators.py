@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +75,6 @@ def test_packing_covers_every_token_once(spark, texts):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     extra = ["It's, Ok. İstanbul é x\x1cy <|endoftext|>", "Word,word.. A.b. 12. é,"]
     given = texts + extra
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(given)}
@@ -94,6 +94,20 @@ def test_packing_covers_every_token_once(spark, texts):
     assert packing.pieces(frame(spark, given).limit(0), path).count() == 0
 
 
+def test_token_ids_are_the_library_s_over_random_unicode():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(17)
+    odd = ["<|endoftext|>", "İ.", "İ,", "Σ.", "ß.", "Ÿ,", "é", "é.", "'s", "'S.", "it's.", "a..", ".", ",", "ﬁ.", "ǅ.", "x\x1cy", "\x85", "\u200b", "\u3000", " ", "\n", "\t", "\r\n", "K.", "×.", "ª.", "µ,"]
+    given = []
+    for _ in range(6000):
+        some = [chr(c) for c in (rng.randint(32, 126), rng.randint(0xA0, 0x24F), rng.randint(0x300, 0x5FF), rng.randint(0x900, 0xD7FF), rng.randint(0x10000, 0x10FFFF))]
+        given.append("".join(rng.choice((rng.choice(odd), rng.choice(some), "".join(rng.choices("abcdEFé", k=5)), " ")) for _ in range(rng.randint(0, 12))))
+    ids, edges = packing.token_ids(pa.array(given, pa.large_string()), path)
+    assert all(ids[a:b].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1] for x, a, b in zip(given, edges, edges[1:]))
+
+
 def test_hilbert_is_a_path():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = grid[np.argsort(packing.hilbert(grid, 3))]
@@ -141,6 +155,20 @@ def test_substring_matches_brute_force(spark, texts):
     assert substring.digest(docs.limit(0)).count() == 0
 
 
+def test_substring_keeps_rows_without_an_id_apart(spark):
+    rng = random.Random(12)
+    passage = sentence(rng, 40)
+    given = [passage] + [sentence(rng, 20) if i % 7 else f"{sentence(rng, 2)} {passage}" for i in range(20_000)]
+    ids = [5] + [None] * 20_000
+    want = removed(given, ids)
+    got = substring.digest(frame(spark, given, ids)).collect()
+    assert sorted(r.kept_sha256 for r in got) == sorted(hashlib.sha256(" ".join(w).encode()).hexdigest() for w in want.values())
+    # two rows that agree in half of their name: only the one with the passage loses words
+    last = (1 << 63) - 1
+    rows = spark.createDataFrame([(5, 1, 1, passage), (last, 2, 1, "x " + passage), (last, 2, 2, sentence(rng, 50))], "doc long, ta long, tb long, text string")
+    assert [(r.ta, r.tb) for r in substring.repeated(rows).collect()] == [(2, 1)]
+
+
 def test_automaton_matches_and_broadcast_form(spark):
     a = substring.SuffixAutomaton([list("abcab"), list("xyz")])
     assert a.matching(list("zabcxy")) == [1, 1, 2, 3, 1, 2]
@@ -181,6 +209,17 @@ def test_minhash_matches_brute_force(spark, texts):
     assert minhash.near_duplicates(frame(spark, ["a b c d e", "a b c d e"], [None, 4])).where("kept").count() == 2
 
 
+def test_pairs_across_a_crowded_bucket_are_few_and_whole(spark):
+    """300 documents of one template whose own part is over a fifth: no pairs; those whose own part is small: all."""
+    rng = random.Random(14)
+    template = [rng.randint(0, 1 << 40) for _ in range(70)]
+    sets = [template + [rng.randint(1 << 41, 1 << 50) for _ in range(30)] for _ in range(300)] + [template + [rng.randint(1 << 41, 1 << 50) for _ in range(8)] for _ in range(6)]
+    table = spark.createDataFrame(list(enumerate(sets)), "doc long, grams array<long>")
+    got = {(r.a, r.b) for r in minhash.across(table.select("doc", F.col("doc").alias("c")), table).collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * max(len(sets[i]), len(sets[j]))}
+    assert near == {(i, j) for j in range(300, 306) for i in range(300, j)} and near <= got and len(got) < 100
+
+
 def test_bands_keep_the_promise():
     for part in range(12):
         b, r = minhash.tuned(part)
