@@ -26,7 +26,7 @@ from tessera.llm.common import materialize, mix, slices, table, utf8
 
 LENGTH, SEPARATOR, BITS, DIMS = 2048, 1, 10, 3
 #: Bytes of text that a worker splits at a time; words that its cache holds (a full one starts anew).
-SLICE, CACHE_WORDS = 8_000_000, 1_000_000
+SLICE, CACHE_WORDS = 4_000_000, 1_000_000
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?$"
 _state: dict = {}
 
