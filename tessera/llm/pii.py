@@ -3,16 +3,20 @@
 Mentions are found by one alternation (e-mail addresses, keys and passwords, IBANs, cards, social security numbers,
 phones, IP addresses, personal names of a lexicon). Each mention's canonical form (letter case and separators aside) is
 hashed with a key; the surrogate pours the hash into the mention's own format: a digit for a digit, a letter of the
-same case for a letter, separators, country code and top-level domain as they are, a valid check digit where there was
-one, octets in range, a given name of the same gender and script with a family name of that script. The same canonical
-form gives the same surrogate everywhere (coreference). All distinct forms of the table are checked: one whose
-surrogate another form has, or that is itself a form in the table, draws again until all surrogates are distinct (after 32 draws a form of the table may be one; after 64, with a format
-too short for its number of forms, an error says so); only
-documents with such forms are joined with the draws, so that usually rewriting is one pass without a shuffle.
+same case for a letter, separators, country code and top-level domain as they are, valid check digits (those of a card
+where it had one), octets in range, a given name of the same gender and script with a family name of that script. The
+same canonical form gives the same surrogate everywhere and in every format (coreference). All distinct forms of the
+table are checked: one whose surrogate another form has, or that is itself a form in the table, draws again, and every
+WIDEN draws the surrogate gets one more character, so that this ends with all surrogates distinct and none of them real.
+
+Texts are matched once: documents with their mentions are written to the shared folder, and rewritten from there; only
+where forms draw again are documents that hold them joined with the draws. The key is the session's setting
+spark.tessera.pii.key; without it a constant one (tests), with which anyone could repeat the surrogates.
 
 Cases: null text stays null, with no mentions; empty text stays empty; null doc_id is kept; repeated rows get equal
 results; extra columns are kept by `rewrite`, also ones with the names used inside; an empty table gives an empty table; a text
-may be of any length.
+may be of any length: no pattern repeats a group without bound or starts anew within a run of letters. Names outside the
+lexicon are not found unless a title stands before them.
 """
 
 from __future__ import annotations
@@ -22,24 +26,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import discard, materialize, table
 
-KEY = "surrogates-1"
+KEY, WIDEN = "surrogates-1", 24
 NAMES = {
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Nancy Maria Anna Claire Sophie Ingrid Greta Lucia Carmen".split(),
-    ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Daniel Pierre Antoine Hans Klaus Stefan Carlos Miguel Javier".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
-    ("cyrillic", "m"): "Иван Алексей Дмитрий Сергей Андрей Михаил Николай Владимир".split(),
+    ("latin", "f"): "Barbara Margaret Emma Olivia Sophia Isabella Charlotte Amelia Hannah Laura Julia Katharina Johanna Petra Sabine Monika Ursula Camille Isabelle Nathalie Sylvie Céline Hélène Elena Isabel Pilar Rosario Francesca Giulia Chiara Priya Ananya Fatima Aisha Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Nancy Maria Anna Claire Sophie Ingrid Greta Lucia Carmen".split(),
+    ("latin", "m"): "Charles Christopher Matthew Anthony Andrew Joshua Kevin Brian George Edward Ronald Timothy Jason Jürgen Wolfgang Dieter Matthias Sebastian Laurent Olivier François Philippe Nicolas José Juan Luis Fernando Alejandro Pablo Giovanni Marco Luca Ahmed Mohammed Omar Rahul James John Robert Michael William David Richard Joseph Thomas Daniel Pierre Antoine Hans Klaus Stefan Carlos Miguel Javier".split(),
+    ("cyrillic", "f"): "Юлия Екатерина Людмила Галина Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
+    ("cyrillic", "m"): "Павел Юрий Виктор Борис Иван Алексей Дмитрий Сергей Андрей Михаил Николай Владимир".split(),
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa".split(),
     "cyrillic": "ба бе бо да де до га го ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се та те то".split(),
 }
 _ANY_NAME = "|".join(n for names in NAMES.values() for n in names)
+TITLES = {"m": "Mr. Mr Herr Monsieur Señor Sr. господин".split(), "f": "Mrs. Mrs Ms. Ms Miss Frau Madame Mme Señora Sra. госпожа".split()}
+_ANY_TITLE = "|".join(t.replace(".", r"\.") for titles in TITLES.values() for t in titles)
+_FAMILY = r"\p{Lu}(?:['’]\p{Lu})?\p{L}*+(?:-\p{Lu}\p{L}*+)?"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: (type, pattern): the first that matches at a place wins.
 PATTERNS = [
-    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}"),
     ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk_live_|sk-|xox[bap]-)[A-Za-z0-9\-]{16,}"),
     ("password", r"(?:(?i)\b(?:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?\"?)[A-Za-z0-9+/_\-]{8,}\"?"),
     ("hex", r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"),
@@ -48,13 +55,14 @@ PATTERNS = [
     ("ssn", r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"),
     ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z])"),
     ("ip", rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"),
-    ("person", rf"(?<!\p{{L}})(?:{_ANY_NAME}) \p{{Lu}}\p{{Ll}}+(?!\p{{L}})"),
+    ("person", rf"(?<!\p{{L}})(?:{_ANY_NAME}|{_ANY_TITLE}) {_FAMILY}(?!\p{{L}})"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What every mention holds; texts without it are passed over cheaply.
-HINT = rf"[0-9@=:]|AKIA|gh[pousr]_|sk_live_|sk-|xox[bap]-|(?<!\p{{L}})(?:{_ANY_NAME}) \p{{Lu}}"
+HINT = rf"[0-9@=:]|AKIA|gh[pousr]_|sk[_-]|xox[bap]-|[a-f]{{32}}|(?<!\p{{L}})(?:{_ANY_NAME}|{_ANY_TITLE}) \p{{Lu}}"
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 WHOLE = {t: rf"^(?:{p})$" for t, p in PATTERNS}
-WHOLE |= {"card": r"^[0-9][0-9 \-]{14,18}$", "phone": r"^[+(]?[0-9][0-9 ()+.\-]+$", "email": "@", "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "hex": r"^[0-9a-f]+$", "secret": r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|sk_live_|sk-|xox[bap]-)", "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$", "person": r"^\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$"}
+WHOLE |= {"card": r"^[0-9][0-9 \-]{14,18}$", "phone": r"^[+(]?[0-9][0-9 ()+.\-]+$", "email": "@", "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "hex": r"^[0-9a-f]+$", "secret": r"^(?:AKIA[0-9A-Z]{16}$|gh[pousr]_|sk_live_|sk-|xox[bap]-)", "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$", "person": r"^\p{L}+\.? \p{Lu}[\p{L}'’\-]*$"}
 
 
 def mentions(text: Column) -> Column:
@@ -67,7 +75,7 @@ def kind(m: Column) -> Column:
 
 
 def canonical(m: Column, t: Column) -> Column:
-    return F.when(t == "email", F.lower(m)).when(t.isin("phone", "card", "ssn", "iban"), F.regexp_replace(m, "[^0-9A-Z]", "")).when(t == "password", F.regexp_replace(m, r"^.*?[=:]\s?\"?|\"$", "")).otherwise(m)
+    return F.when(t == "email", F.lower(m)).when(t.isin("phone", "card", "ssn", "iban"), F.regexp_replace(m, "[^0-9A-Z+]", "")).when(t == "password", F.regexp_replace(m, r"^.*?[=:]\s?\"?|\"$", "")).otherwise(m)
 
 
 def _stream(t: Column, c: Column, attempt: Column, key: str) -> Column:
@@ -79,22 +87,37 @@ def _byte(h: Column, k: Column) -> Column:
     return F.conv(F.substr(h, F.pmod(k, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _pour(m: Column, h: Column, skip: Column, hexadecimal: Column) -> Column:
-    """m with its alphanumerics after the first `skip` characters drawn from the stream, class by class."""
+def _pour(m: Column, h: Column, skip: Column, hexadecimal: Column, keep: Column | None = None) -> Column:
+    """m with its alphanumerics after the first `skip` characters and the next `keep` alphanumerics drawn from the
+    stream, class by class."""
     def step(s, x):
         c = x
         b = _byte(h, s["k"])
         draw = (
-            F.when(hexadecimal & c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), b % 16 + 1, F.lit(1)))
+            F.when((s["k"] < 0) | ~c.rlike("[0-9A-Za-z]"), c)
+            .when(hexadecimal & c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), b % 16 + 1, F.lit(1)))
             .when(c.rlike("[0-9]"), (b % 10).cast("string"))
             .when(c.rlike("[a-z]"), F.char(F.lit(97) + b % 26))
-            .when(c.rlike("[A-Z]"), F.char(F.lit(65) + b % 26))
-            .otherwise(c)
+            .otherwise(F.char(F.lit(65) + b % 26))
         )
         return F.struct(F.concat(s["out"], draw).alias("out"), (s["k"] + c.rlike("[0-9A-Za-z]").cast("int")).alias("k"))
 
     head, rest = F.substr(m, F.lit(1), skip), F.split(F.substr(m, skip + 1), "(?!^)")
-    return F.concat(head, F.aggregate(rest, F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step)["out"])
+    first = F.lit(0) if keep is None else -keep.cast("int")
+    return F.concat(head, F.aggregate(rest, F.struct(F.lit("").alias("out"), first.alias("k")), step)["out"])
+
+
+def _mod97(s: Column) -> Column:
+    """Letters as 10 to 35; the whole number mod 97."""
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    return F.aggregate(F.split(s, "(?!^)(?!$)"), F.lit(0), lambda n, c: F.when(c.rlike("[0-9]"), n * 10 + value(c)).otherwise(n * 100 + value(c)) % 97)
+
+
+def _iban(m: Column, h: Column) -> Column:
+    """The country as it is, then check digits for the account that was drawn."""
+    country, account = F.substr(m, F.lit(1), F.lit(2)), _pour(F.substr(m, F.lit(5)), h, F.lit(0), F.lit(False))
+    check = F.lpad((F.lit(98) - _mod97(F.concat(F.regexp_replace(account, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, check, account)
 
 
 def _luhn(digits: Column) -> Column:
@@ -111,63 +134,83 @@ def _checked(m: Column, drawn: Column) -> Column:
 
 
 def _person(m: Column, h: Column) -> Column:
-    out = F.lit(None).cast("string")
+    """A given name of the same gender and script, or the same title, and a family name of the script."""
     first = F.substring_index(m, " ", 1)
-    for (script, _), names in NAMES.items():
-        part = F.array(*map(F.lit, SYLLABLES[script]))
-        family = F.initcap(F.concat(*[F.get(part, _byte(h, F.lit(2 + i)) % len(SYLLABLES[script])) for i in range(4)]))
-        out = F.when(first.isin(names), F.concat_ws(" ", F.get(F.array(*map(F.lit, names)), _byte(h, F.lit(0)) % len(names)), family)).otherwise(out)
-    return F.coalesce(out, m)
-
-
-def surrogate(m: Column, t: Column, c: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of mention m of type t with canonical form c."""
-    h = _stream(t, c, attempt, key)
+    family, of_title, given = {}, [], F.lit(None).cast("string")
+    for script, syllables in SYLLABLES.items():
+        part = F.array(*map(F.lit, syllables))
+        family[script] = F.initcap(F.concat(*[F.get(part, _byte(h, F.lit(2 + i)) % len(syllables)) for i in range(4)]))
+    for (script, gender), names in NAMES.items():
+        ending = F.lit({"m": "ов", "f": "ова"}[gender] if script == "cyrillic" else "")
+        given = F.when(first.isin(names), F.concat(F.get(F.array(*map(F.lit, names)), _byte(h, F.lit(0)) % len(names)), F.lit(" "), family[script], ending)).otherwise(given)
+    for gender, titles in TITLES.items():
+        of_title.append(F.when(first.isin(titles), F.concat(first, F.lit(" "), F.when(F.substring_index(m, " ", -1).rlike(r"^\p{IsCyrillic}"), F.concat(family["cyrillic"], F.lit({"m": "ов", "f": "ова"}[gender]))).otherwise(family["latin"]))))
+    return F.coalesce(given, *of_title, m)
+
+
+def surrogate(m: Column, t: Column, c: Column, attempt: Column, h: Column) -> Column:
+    """The replacement of mention m of type t with canonical form c, from its stream h."""
     zero, no = F.lit(0), F.lit(False)
     domain = F.substring_index(m, ".", -1)
     octets = F.concat_ws(".", (_byte(h, F.lit(0)) % 223 + 1).cast("string"), *[_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3)])
-    lead = F.length(F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .\-]|\+)", 0))
     value = F.length(F.regexp_extract(m, r"^.*?[=:]\s?\"?", 0))
     prefix = F.length(F.regexp_extract(m, r"^(?:AKIA|gh[pousr]_|sk_live_|sk-|xox[bap]-)", 0))
+    country = F.greatest(F.length(F.regexp_extract(c, COUNTRY, 0)) - 1, zero)
+    # draws beyond WIDEN: so many digits more than the format has
+    wider = F.when(attempt >= WIDEN, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.floor(attempt / WIDEN), F.lit(1)).cast("int")), lambda k: (_byte(h, k + 60) % 10).cast("string")), "")).otherwise("")
     return (
-        F.when(t == "email", F.concat(_pour(F.substr(m, F.lit(1), F.length(m) - F.length(domain)), h, zero, no), domain))
-        .when(t == "secret", _pour(m, h, prefix, no))
-        .when(t == "password", _pour(m, h, value, F.substr(m, value + 1).rlike('^[0-9a-f]+"?$')))
-        .when(t == "hex", _pour(m, h, zero, F.lit(True)))
-        .when(t == "iban", _pour(m, h, F.lit(2), no))
-        .when(t == "card", _checked(m, _pour(m, h, zero, no)))
-        .when(t == "phone", _pour(m, h, lead, no))
-        .when(t == "ip", octets)
-        .when(t == "person", _person(m, h))
-        .otherwise(_pour(m, h, zero, no))
+        F.when(t == "email", F.concat(wider, _pour(F.substr(m, F.lit(1), F.length(m) - F.length(domain)), h, zero, no), domain))
+        .when(t == "secret", F.concat(_pour(m, h, prefix, no), wider))
+        .when(t == "password", F.concat(_pour(F.regexp_replace(m, '"$', ""), h, value, F.substr(m, value + 1).rlike('^[0-9a-f]+"?$')), wider, F.when(m.endswith('"'), '"').otherwise("")))
+        .when(t == "hex", F.concat(_pour(m, h, zero, F.lit(True)), wider))
+        .when(t == "iban", _iban(F.concat(m, wider), h))
+        .when(t == "card", F.concat(_checked(m, _pour(m, h, zero, no)), wider))
+        .when(t == "phone", F.concat(_pour(m, h, zero, no, country), wider))
+        .when(t == "ip", F.concat(octets, wider))
+        .when(t == "person", F.concat(_person(m, h), wider))
+        .otherwise(F.concat(_pour(m, h, zero, no), wider))
     )
 
 
+def _with(e: Column, attempt: Column, key: str) -> Column:
+    """A mention's struct (m, t, c) with its attempt and stream, each evaluated once."""
+    return F.struct(e["m"].alias("m"), e["t"].alias("t"), e["c"].alias("c"), attempt.alias("a"), _stream(e["t"], e["c"], attempt, key).alias("h"))
+
+
 def draws(forms: DataFrame, key: str = KEY) -> DataFrame | None:
     """(t, c, attempt) of the forms (t, c, m) that must draw again for all surrogates to be distinct; None: no form."""
-    got = lambda a: canonical(surrogate(F.col("m"), F.col("t"), F.col("c"), a, key), F.col("t"))
-    now = materialize(forms.withColumn("attempt", F.lit(0)).withColumn("s", got(F.lit(0))), "surrogates")
-    again = None
-    for turn in range(64):
+
+    def drawn(rows):
+        rows = rows.withColumn("h", _stream(F.col("t"), F.col("c"), F.col("attempt"), key))
+        got = surrogate(F.col("m"), F.col("t"), F.col("c"), F.col("attempt"), F.col("h"))
+        return materialize(rows.withColumn("s", got).drop("h").withColumn("s", canonical(F.col("s"), F.col("t"))), "surrogates")
+
+    now, again = drawn(forms.withColumn("attempt", F.lit(0))), None
+    while True:
         shared = now.groupBy("t", "s").agg(F.count("*").alias("n"), F.min("c").alias("owner")).where("n > 1")
         real = now.select("t", F.col("c").alias("s"), F.lit(True).alias("real"))
-        clash = now.join(shared, ["t", "s"], "left").join(real, ["t", "s"], "left").where("n > 1 and c <> owner" + " or real" * (turn < 32)).select("t", "c", F.lit(True).alias("clash"))
+        clash = now.join(shared, ["t", "s"], "left").join(real, ["t", "s"], "left").where("n > 1 and c <> owner or real").select("t", "c", F.lit(True).alias("clash"))
         if not clash.head(1):
-            return None if again is None else again.where("attempt > 0").select("t", "c", "attempt")
+            if again is None:
+                discard(now)
+                return None
+            return again.where("attempt > 0").select("t", "c", "attempt")
         attempt = F.col("attempt") + F.coalesce(F.col("clash"), F.lit(False)).cast("int")
-        now = again = materialize(now.join(clash, ["t", "c"], "left").withColumn("attempt", attempt).drop("clash").withColumn("s", got(F.col("attempt"))), "surrogates")
-    raise ValueError("too many different forms of one format for distinct surrogates")
+        older, now = now, drawn(now.join(clash, ["t", "c"], "left").withColumn("attempt", attempt).select("t", "c", "m", "attempt"))
+        again = now
+        discard(older)
 
 
-def _rewritten(docs: DataFrame, key: str) -> DataFrame:
+def _rewritten(docs: DataFrame, key: str | None) -> DataFrame:
     """docs as one struct `given`, with `body`, the text with surrogates, and `types`."""
+    key = key or docs.sparkSession.conf.get("spark.tessera.pii.key", KEY)
     text = F.col("given.text").cast("string")
-    base = docs.select(F.struct("*").alias("given")).withColumn("found", mentions(text))
-    typed = lambda m: F.struct(m.alias("m"), kind(m).alias("t"), canonical(m, kind(m)).alias("c"))
-    each = base.where(F.size("found") > 0).select(F.explode(F.transform("found", typed)).alias("e"))
-    forms = each.groupBy("e.t", "e.c").agg(F.min("e.m").alias("m"))
-    again = draws(forms, key)
-    base = base.withColumn("found", F.transform("found", typed))
+    found = docs.select(F.struct("*").alias("given")).withColumn("found", mentions(text))
+    found = found.withColumn("found", F.transform("found", lambda m: F.struct(m.alias("m"), kind(m).alias("t"))))
+    typed = lambda e: F.struct(e["m"].alias("m"), e["t"].alias("t"), canonical(e["m"], e["t"]).alias("c"))
+    base = materialize(found.withColumn("found", F.transform("found", typed)), "mentions")
+    each = base.select(F.explode("found").alias("e"))
+    again = draws(each.groupBy("e.t", "e.c").agg(F.min("e.m").alias("m")), key)
     if again is None:
         base = base.withColumn("tries", F.lit(None).cast("map<string,int>"))
     else:
@@ -176,17 +219,18 @@ def _rewritten(docs: DataFrame, key: str) -> DataFrame:
         tries = asked.join(again, ["t", "c"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "t", "c"), "attempt"))).alias("tries"))
         base = rows.join(tries, "row", "left")
     tried = lambda e: F.coalesce(F.try_element_at("tries", F.concat_ws(":", e["t"], e["c"])), F.lit(0))
-    put = F.transform("found", lambda e: surrogate(e["m"], e["t"], e["c"], tried(e), key))
+    ready = F.transform("found", lambda e: _with(e, tried(e), key))
+    put = F.transform(ready, lambda e: surrogate(e["m"], e["t"], e["c"], e["a"], e["h"]))
     woven = F.array_join(F.flatten(F.zip_with(F.split(text, PATTERN, -1), put, lambda gap, s: F.array(gap, F.coalesce(s, F.lit(""))))), "")
     return base.select("given", F.when(F.size("found") > 0, woven).otherwise(text).alias("body"), F.transform("found", lambda e: e["t"]).alias("types"))
 
 
-def rewrite(docs: DataFrame, key: str = KEY) -> DataFrame:
+def rewrite(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with surrogates in its text."""
     columns = [F.col("body").alias("text") if c == "text" else F.col("given")[c].alias(c) for c in docs.columns]
     return _rewritten(docs, key).select(*columns)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _rewritten(table(spark, sf_dir, "documents"), KEY)
+    done = _rewritten(table(spark, sf_dir, "documents"), None)
     return done.select("given.doc_id", F.col("body").alias("text"), F.size("types").cast("long").alias("n_replaced"), F.array_sort(F.array_distinct("types")).alias("types"))

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -347,6 +348,34 @@ def test_surrogates(spark):
     assert pii.rewrite(docs.limit(0)).count() == 0
 
 
+def test_surrogates_in_every_format_and_of_any_length(spark):
+    given = [
+        "call +1 (415) 555-2671 or +14155552671 or +44 20 7946 0958", "IBAN DE89370400440532013000 or DE89 3704 0044 0532 0130 00", "x@" + "a." * 6000 + " x@" + "a." * 6000 + "com end",
+        "a" * 1_000_000 + " bob@site.org", "Priya O'Brien wrote to Mr. Smith and Frau Müller-Lang", "the digest " + "abcdef" * 5 + "ab stays", "." * 200_000 + "0" * 200_000,
+    ]
+    began = time.time()
+    got = {r.doc_id: r.text for r in pii.rewrite(frame(spark, [*given, None, given[0]], [*range(7), 7, None]), "a key").collect()}
+    assert time.time() - began < 120 and len(got) == 9 and got[None] == got[0]
+    one, two = re.findall(r"\+1[ 0-9()\-]+\d", got[0])
+    assert re.sub("[^0-9]", "", one) == re.sub("[^0-9]", "", two) != "14155552671" and re.search(r"\+44 \d\d \d{4} \d{4}$", got[0])
+    a, b = re.search("IBAN (.*) or (.*)", got[1]).groups()
+    assert a == b.replace(" ", "") != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1
+    assert "bob@site.org" not in got[3] and got[3].startswith("a" * 1_000_000 + " ") and got[6] == given[6]
+    assert " wrote to Mr. " in got[4] and " and Frau " in got[4] and not re.search("Priya|O'Brien|Smith|Müller", got[4])
+    assert "abcdef" * 5 not in got[5] and "x@a.a" not in got[2].split(" ")[1]
+    assert pii.rewrite(frame(spark, given[:1]), "another").first().text != got[0]
+
+
+def test_a_full_format_gets_wider(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WIDEN", 2)
+    tiny = [str(k) for k in range(10)]
+    forms = spark.createDataFrame([("other", c, c) for c in tiny], "t string, c string, m string")
+    tries = {r.c: r.attempt for r in pii.draws(forms).collect()}
+    rows = spark.createDataFrame([(c, tries[c]) for c in tiny], "c string, a int")
+    final = {r.s for r in rows.select(pii.surrogate(F.col("c"), F.lit("other"), F.col("c"), F.col("a"), pii._stream(F.lit("other"), F.col("c"), F.col("a"), pii.KEY)).alias("s")).collect()}
+    assert len(final) == 10 and not final & set(tiny)
+
+
 def test_secrets_of_letters_alone(spark):
     keys = ["AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrst", "sk_live_" + "abcdefghijklmnopqrst", "sk-" + "abcdefghijklmnopqrst", "xoxb-" + "abcdefghijklmnopqrst"]
     got = pii.rewrite(frame(spark, [f"the key {k} stays here" for k in keys])).collect()
@@ -359,7 +388,7 @@ def test_clashing_surrogates_draw_again(spark):
     tiny = [f"{k:02d}" for k in range(0, 60, 3)]
     again = pii.draws(spark.createDataFrame([("other", c, c) for c in tiny], "t string, c string, m string"))
     tries = {r.c: r.attempt for r in again.collect()}
-    final = spark.createDataFrame([(c, tries.get(c, 0)) for c in tiny], "c string, a int").select(pii.surrogate(F.col("c"), F.lit("other"), F.col("c"), F.col("a")).alias("s")).collect()
+    final = spark.createDataFrame([(c, tries.get(c, 0)) for c in tiny], "c string, a int").select(pii.surrogate(F.col("c"), F.lit("other"), F.col("c"), F.col("a"), pii._stream(F.lit("other"), F.col("c"), F.col("a"), pii.KEY)).alias("s")).collect()
     assert tries and len({r.s for r in final}) == 20 and not {r.s for r in final} & set(tiny)
 
 
