@@ -8,8 +8,12 @@ cross-entropy is within what the language's own training texts show.
 
 Counts come from a bounded sample: the SAMPLE rows of each language with the least hashes; every document is scored, whole.
 
+Languages are taken TOGETHER at a time, so that the models' size is linear in them; a text longer than PIECE is scored
+piece by piece, which gives the same sums.
+
 Cases: null text, and text without a letter, is `und` with score 0; so is every text where there is nothing to learn from; null
-lang is never learned; null doc_id is scored and counts as held out; an empty table gives an empty table; extra columns are ignored.
+lang is never learned; null doc_id is scored and counts as held out; ties of the cross-entropy go to the
+first language by name; repeated rows get equal results; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix, slices, table, utf8
 
-ORDER, SAMPLE, MOST_LANGUAGES, QUANTILE = 4, 800, 200, 0.999
+ORDER, SAMPLE, QUANTILE = 4, 800, 0.999
+#: Languages whose models share arrays; bytes of text that are scored at a time.
+TOGETHER, PIECE = 16, 1_000_000
 _fold: np.ndarray | None = None
 
 
@@ -143,12 +149,8 @@ def _find(keys: np.ndarray, asked: np.ndarray):
     return at, (keys[at] == asked) if len(keys) else np.zeros(len(asked), bool)
 
 
-def entropies(store: dict, data: np.ndarray, offsets: np.ndarray):
-    """(cross-entropies a character by language, characters, letters) of each text."""
-    n = len(offsets) - 1
-    p, row = letters(data, offsets)
-    inner = np.ones(len(p), bool)
-    inner[np.searchsorted(row, np.arange(n))] = False  # the blank before a text is context only
+def _logs(store: dict, p: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """(position, language): log probability of each codepoint after those before it in its row."""
     logs = np.zeros((len(p), len(store["floor"])), np.float32)
     left = np.arange(len(p))
     for k in range(ORDER, 0, -1):
@@ -166,12 +168,52 @@ def entropies(store: dict, data: np.ndarray, offsets: np.ndarray):
             logs[left[known]] += back[at[known]]
         else:
             logs[left] += back[0] + store["floor"]
-    logs[~inner] = 0
+    return logs
+
+
+def _long(stores: list[dict], data: np.ndarray):
+    """Sums of the log probabilities by language, characters and letters of one text, in pieces that carry the last
+    codepoints over."""
+    total, chars, alpha, before, a = np.zeros(sum(len(s["floor"]) for s in stores)), 0, 0, np.full(1, 32, np.uint32), 0
+    while a < len(data):
+        b = min(len(data), a + PIECE)
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        p, _ = letters(data[a:b], np.array([0, b - a]))
+        p = p[1:] if len(p) > 1 and p[0] == 32 else p  # the blank that letters() puts before a row
+        q = folded()[np.frombuffer(data[a:b].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+        if q[0] == 32 and before[-1] != 32:
+            p = np.concatenate((np.full(1, 32, np.uint32), p[p[:1].tolist() == [32] :]))
+        elif p[0] == 32:
+            p = p[1:]
+        if len(p):
+            joined = np.concatenate((before, p))
+            row = np.zeros(len(joined), np.int64)
+            total += np.concatenate([-_logs(s, joined, row)[len(before) :].sum(0, dtype=np.float64) for s in stores])
+            chars, alpha = chars + len(p), alpha + int((p != 32).sum())
+            before = joined[-(ORDER - 1) :]
+        a = b
+    return total, chars, alpha
+
+
+def entropies(stores: list[dict], data: np.ndarray, offsets: np.ndarray):
+    """(cross-entropies a character by language, characters, letters) of each text."""
+    n = len(offsets) - 1
+    if n == 1 and offsets[1] - offsets[0] > PIECE:
+        total, chars, alpha = _long(stores, data[int(offsets[0]) : int(offsets[1])])
+        return total[None] / max(chars, 1), np.array([chars]), np.array([alpha])
+    p, row = letters(data, offsets)
+    inner = np.ones(len(p), bool)
+    inner[np.searchsorted(row, np.arange(n))] = False  # the blank before a text is context only
     edges = np.searchsorted(row, np.arange(n))
-    total = -np.add.reduceat(logs, edges, axis=0, dtype=np.float64) if len(p) else np.zeros((n, len(store["floor"])))
+    total = []
+    for store in stores:
+        logs = _logs(store, p, row)
+        logs[~inner] = 0
+        total.append(-np.add.reduceat(logs, edges, axis=0, dtype=np.float64) if len(p) else np.zeros((n, len(store["floor"]))))
     chars = np.bincount(row, weights=inner, minlength=n)
     alpha = np.bincount(row, weights=p != 32, minlength=n)
-    return total / np.maximum(chars, 1)[:, None], chars, alpha
+    return np.concatenate(total, axis=1) / np.maximum(chars, 1)[:, None], chars, alpha
 
 
 def held_out(doc_id="doc_id"):
@@ -183,7 +225,7 @@ def fit(docs: DataFrame) -> dict | None:
     known = docs.where("lang is not null and doc_id is not null").where(~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("doc_id", "lang")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    langs = sorted(r.lang for r in picked.select("lang").distinct().collect())
     if not langs:
         return None
     rows = known.select("doc_id", "text", "lang").join(F.broadcast(picked.where(F.col("lang").isin(langs))), ["doc_id", "lang"]).select("lang", F.col("text").cast("string").alias("text"))
@@ -196,14 +238,14 @@ def fit(docs: DataFrame) -> dict | None:
             models.append(kneser_ney(own[["a", "b", "c", "d"]].to_numpy(), own["n"].to_numpy()))
     if not models:
         return None
-    store = build(models)
+    store = [build(models[i : i + TOGETHER]) for i in range(0, len(models), TOGETHER)]
     sent = docs.sparkSession.sparkContext.broadcast((names, store))
 
     def own_entropy(batches):
         names, store = sent.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, PIECE):
                 h, chars, _ = entropies(store, data, offsets[a : b + 1])
                 k = [names.index(x) for x in batch.column(0).slice(a, b - a).to_pylist()]
                 ok = chars >= 20
@@ -222,7 +264,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
         m = sent.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 1_000_000):
+            for a, b in slices(offsets, PIECE):
                 n = b - a
                 if m is None:
                     lang, score, best = ["und"] * n, np.zeros(n), np.zeros(n)
