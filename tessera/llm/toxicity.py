@@ -6,7 +6,8 @@ alone: each voter's rate in either class, the share of toxic texts, and the corr
 a class, by which correlated voters are discounted. A logistic regression over the votes' counts is then trained on the posterior labels and scores
 every text.
 
-The sample is bounded: the SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents with the least hashes. All documents are scored, whole.
+The sample is bounded: the SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents with the least hashes, at most SAMPLE_ROWS
+rows of each. Voters are all patterns that pass the tests. All documents are scored, whole.
 
 Cases: null and empty texts score as texts without votes; null doc_id is scored, held_out null counts as held out;
 several labels of a document count by their largest; without labelled rows of both classes every score is 0; repeated rows score
@@ -22,12 +23,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, VOTERS, LEAST_DOCS, PRECISION, COMMON = 1500, 3000, 96, 4, 0.98, 0.05
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_ROWS, LEAST_DOCS, PRECISION, COMMON = 1500, 3000, 4, 4, 0.98, 0.05
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -87,8 +88,6 @@ def discover(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
             for p in {p for w in words for p in patterns(w) if p in of}:
                 of[p].add(k)
     for p in sorted(good, key=lambda p: (-pos[p], len(p), p)):
-        if len(chosen) == VOTERS:
-            break
         if any(q[0] != "=" and p.lstrip("=").startswith(q) for q in chosen):
             continue
         if pos[p] >= COMMON * n1 or len(of[p] - reached) >= LEAST_DOCS:
@@ -155,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model: voters and weights."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     picks = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("text", "toxic")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picks[0].union(picks[1])), "doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    sample = sample.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_ROWS).select("text", "toxic")
     sets, marks = [], []
     for row in sample.toLocalIterator():
         sets.append({sys.intern(w) for w in tokens(row.text)})
