@@ -9,7 +9,7 @@ at least half of the paragraph's 3-grams, or four of them, are theirs, or it hol
 many documents hold them; the model is a table of a few thousand grams, whose size the templates fix.
 
 Cases: null and empty texts, and texts without a licence, have the licence "none"; null doc_id is kept (its rows are taken
-together); rows with one doc_id share their findings; ties between families go to the first by name; an empty table gives
+together); a text may be of any length (its patterns take linear time); rows with one doc_id share their findings; ties between families go to the first by name; an empty table gives
 an empty table; extra columns are ignored.
 """
 
@@ -47,12 +47,12 @@ UNKNOWN = [
 ]
 TRIGGER = r"(?i)licen[sc]e|copyright|copyleft|warrant|redistribut|public domain|rights reserved|\bgpl\b|\bspdx\b|creative commons|\bcc[ -]by|permission (?:is|to|notice)|unencumbered|proprietary|apache\.org"
 SPLIT = r"(?<=[.!?])\s+(?=[\p{Lu}(])"
-WORD = r"[a-z0-9.]*[a-z0-9]"
+WORD = r"[a-z0-9.]+"  # without the dots at its end
 FAMILIES = [*sorted(TEMPLATES), "unknown"]
 
 
 def grams(text: str) -> set[str]:
-    w = re.findall(WORD, text.lower())
+    w = [x for x in (m.rstrip(".") for m in re.findall(WORD, text.lower())) if x]
     return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
 
 
@@ -106,7 +106,7 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     threes = [(f, sorted(g for g in grams(t) if g.count(" ") == 2)) for f, texts in TEMPLATES.items() for t in texts]
     shapes = [{"gram": g, "families": sorted({f for f, of in threes if g in of}), "templates": [i for i, (_, of) in enumerate(threes) if g in of]} for g in sorted({g for _, of in threes for g in of})]
     shapes = _constants(spark, shapes, "gram: string, families: array<string>, templates: array<int>")
-    words = F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), F.lit(0))
+    words = F.filter(F.transform(F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), F.lit(0)), lambda m: F.rtrim(m, F.lit("."))), lambda x: x != "")
     held = paragraphs.withColumn("words", words)
     held = held.withColumn("grams", F.array_distinct(F.concat(_grams(F.col("words"), 1), _grams(F.col("words"), 2), _grams(F.col("words"), 3)))).drop("words")
     each = held.select("key", F.greatest(F.size("grams"), F.lit(1)).alias("n"), F.explode_outer("grams").alias("gram"))
