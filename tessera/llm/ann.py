@@ -9,12 +9,15 @@ that finds over 0.9 of the true neighbours, however norms are spread. Groups are
 yields its best for each query; scores are inner products in double precision of the original vectors. A query that
 found fewer than k looks at all rows, in blocks.
 
-Cases: null, zero or non-finite vectors, null ids and vectors of another length than the commonest take no part; ties go to
+Cases: null, zero or non-finite vectors, and null ids take no part; vectors are searched among those of their
+length (each length by itself); ties go to
 the smaller id; of repeated ids each distinct vector counts as a row of its own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,13 +104,19 @@ def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows (vec_id, embedding) of largest inner product found for each query."""
-    base = prepared(rows)
+    every, asked = prepared(rows), prepared(queries)
+    lengths = [r.d for r in every.select(F.size("v").alias("d")).distinct().orderBy("d").collect()] or [0]
+    found = [_nearest(every.where(F.size("v") == d), asked.where(F.size("v") == d), k, tables, probes) for d in lengths]
+    return reduce(DataFrame.union, found)
+
+
+def _nearest(base: DataFrame, queries: DataFrame, k: int, tables: int, probes: int) -> DataFrame:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
     # Rounded, so that unit vectors are in the middle of a range; bounded, so that squares may overflow or vanish.
     part = F.round(F.log2(F.least(F.greatest(norm, F.lit(1e-150)), F.lit(1e150)))).cast("int")
     sizes = base.groupBy(part.alias("r")).agg(F.max(norm), F.count("*")).orderBy("r").collect()
     ranges = {r: (n, scale or 1.0, rows) for n, (r, scale, rows) in enumerate(sizes)}
-    asked = prepared(queries).select(F.col("vec_id").cast("long").alias("id"), "v")
+    asked = queries.select(F.col("vec_id").cast("long").alias("id"), "v")
     stored = base.select(F.col("vec_id").cast("long").alias("id"), "v", part.alias("r"))
     schema = "id long, v array<double>, codes array<long>"
     found = materialize(_search(asked.mapInArrow(_codes(ranges, probes, tables), schema) if ranges else asked.select("id", "v", F.array().cast("array<long>").alias("codes")), stored.mapInArrow(_codes(ranges, 1, tables), schema), k), "neighbours")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +50,15 @@ def valid(c: Column) -> Column:
 
 
 def prepared(vectors: DataFrame, *keep: str) -> DataFrame:
-    """vec_id, *keep and v array<double> of the rows that take part: valid, and of the table's commonest length."""
-    rows = vectors.where("vec_id is not null").select("vec_id", *keep, F.col("embedding").cast("array<double>").alias("v")).where(valid(F.col("v")))
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == F.lit(length["d"] if length else 0))
+    """vec_id, *keep and v array<double> of the rows that take part."""
+    return vectors.where("vec_id is not null").select("vec_id", *keep, F.col("embedding").cast("array<double>").alias("v")).where(valid(F.col("v")))
+
+
+def by_length(batch: pa.RecordBatch, column: int):
+    """The rows of a batch with vectors of one length each."""
+    n = np.asarray(pc.list_value_length(batch.column(column)))
+    for d in np.unique(n):
+        yield batch if (n == d).all() else batch.take(pa.array(np.flatnonzero(n == d)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -7,8 +7,8 @@ loss is least is replaced). A pair at the bound of 0.93 shares a bucket of one o
 pairs of blocks are compared, so that no task holds a whole bucket. A block yields the number of links of each
 vector (a pair counts in its first common bucket only) and a spanning forest of them, never its pairs.
 
-Cases: a null label, and null, zero or non-finite vectors, link with nothing and are their own component; repeated
-vec_ids are one vector where they are equal; an empty table gives an empty table; extra columns are ignored.
+Cases: a null label, and null, zero or non-finite vectors, link with nothing and are their own component; vectors of
+different lengths don't link; repeated vec_ids are one vector where they are equal and else share its links and component; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
 from tessera.llm.components import components
-from tessera.llm.cross_polytope import axes, grouped, matrix, prepared, rotate
+from tessera.llm.cross_polytope import axes, by_length, grouped, matrix, prepared, rotate
 
 COSINE, TABLES, BLOCK = 0.93, 14, 1024
 
@@ -43,7 +43,7 @@ def codes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
 
 
 def _file(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_length(whole, 1)):
         x = matrix(batch.column(1))
         if len(x):
             c = codes(x / np.linalg.norm(x, axis=1, keepdims=True))
@@ -125,7 +125,7 @@ def links(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
-    rows = prepared(vectors.where("label is not null"), "label").withColumn("vec_id", F.col("vec_id").cast("long")).distinct()
+    rows = prepared(vectors.where("label is not null"), "label").withColumn("label", F.struct("label", F.size("v").alias("length"))).withColumn("vec_id", F.col("vec_id").cast("long")).distinct()
     equal = materialize(rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("m")), "vectors")
     same = materialize(rows.join(equal, ["label", "v"]).select("vec_id", "id", "m"), "same")
     found = links(equal, cosine)

@@ -306,6 +306,14 @@ def test_vector_links_match_brute_force(spark, cloud):
     assert vector_dedup.near_vectors(vectors(spark, cloud).limit(0)).count() == 0
 
 
+def test_vectors_of_two_lengths(spark):
+    rows = vectors(spark, [[1, 0], [1, 0.01], [1, 0, 0], [1, 0, 0.01], [0, 1, 0]])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(rows).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+    found = ann.nearest(rows, rows.where("vec_id in (0, 2)")).collect()
+    assert {(r.query_id, r.vec_id) for r in found} == {(0, 1), (2, 3), (2, 4)}
+
+
 def test_blocks_of_a_crowded_bucket(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     rng = np.random.default_rng(9)
@@ -429,6 +437,23 @@ def test_language_id(spark):
     assert langid.fit(docs.limit(0)) is None and langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_long_texts_and_many_languages_are_scored_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    models = [langid.kneser_ney(rng.integers(97, 103, (200, 4)), rng.integers(1, 5, 200)) for _ in range(5)]
+    texts = [" 1 ab cd é".join(sentence(random.Random(k), 30) for _ in range(3)) + " " * (k % 3) + "дa" * k for k in range(8)]
+    whole = [langid.entropies([langid.build(models)], *byte_rows([t])) for t in texts]
+    monkeypatch.setattr(langid, "PIECE", 7)
+    parts = [langid.build(models[:2]), langid.build(models[2:])]
+    for t, (h, chars, alpha) in zip(texts, whole):
+        g, c, a = langid.entropies(parts, *byte_rows([t]))
+        assert c[0] == chars[0] and a[0] == alpha[0] and np.allclose(g, h, atol=1e-5)
+
+
+def byte_rows(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data])
+
+
 def test_kneser_ney_sums_to_one():
     grams = np.array([[97, 98, 97, c] for c in (97, 98, 99)] + [[98, 97, 98, 97]])
     tables, weights, floor = langid.kneser_ney(grams, np.array([5, 1, 2, 3]))
@@ -449,6 +474,12 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_in_long_runs(spark):
+    began = time.time()
+    got = {r.doc_id: r.license for r in licenses.scan(frame(spark, ["license " + "." * 400_000, "a." * 100_000 + " Released under the MIT License."])).collect()}
+    assert got[0] == "none" and time.time() - began < 90
+
+
 def test_licences_within_short_lines(spark):
     prose = "We wrote this in a day and a night. It rained. "
     given = [prose + "Released under the MIT License.", prose + "Licensed under CC BY 4.0. Thank you all for reading it.", "Copyright 2020 Acme. All rights reserved.", prose + "Nobody reads a license anyway.", "x " * 300 + ". Released under the MIT License."]
