@@ -30,11 +30,16 @@ def apply_scores(candidates: DataFrame, scores: DataFrame, k: int | None = None)
 
 
 def rerank(candidates: DataFrame, model: Callable[[str, list[str]], list[float]], k: int | None = None) -> DataFrame:
-    """Score each query's candidates (query_id, query, pos, id, text, score) with a model: a bounded group a query."""
+    """Score each query's candidates (query_id, query, pos, id, text, score) with a model: a bounded group a query.
+
+    A query for which the model fails keeps its recall order, with reranked false."""
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        scores = model(pdf["query"].iloc[0], pdf["text"].tolist())
-        return pd.DataFrame({"query_id": key[0], "pos": range(len(scores)), "score": scores})
+        try:
+            scores = list(model(pdf["query"].iloc[0], pdf["text"].tolist()))
+        except Exception:  # no scores: they don't align
+            scores = []
+        return pd.DataFrame({"query_id": key[0], "pos": range(len(scores)), "score": [float(x) for x in scores]})
 
     scores = candidates.groupBy("query_id").applyInPandas(run, "query_id long, pos int, score double")
     return apply_scores(candidates, scores, k)

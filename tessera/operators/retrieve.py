@@ -25,6 +25,8 @@ def retrieve(rows: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: i
     """Chunks (query_id, rank, id, score, vector_*, keyword_*, fusion_score) and one dict of diagnostics.
 
     rows: id, text, embedding and what the filter reads; queries: query_id, text, vector. A batch of queries is one plan.
+    In hybrid mode each channel's hits (at most fetch_k a query) are computed here and kept, so that a channel that fails
+    while it runs leaves the answer to the other one; the other modes stay lazy.
     """
     effective, fetch = limits(top_k, fetch_k, level)
     if mode not in ("dense", "keyword", "hybrid"):
@@ -37,7 +39,11 @@ def retrieve(rows: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: i
     }
     for name in wanted:
         try:
-            found[name] = recall[name]()
+            hits = recall[name]()
+            if mode == "hybrid":
+                hits = hits.persist()
+                hits.count()
+            found[name] = hits
         except FATAL:
             raise
         except Exception as e:  # the other channel answers

@@ -33,7 +33,7 @@ def index_batch(target: store.Store, kb_id: str, documents: DataFrame, embed) ->
     now = documents.select("source_id").distinct().join(new.groupBy("source_id").agg(F.max("total_chunks").alias("n")), "source_id", "left")
     stale = rows.join(now, "source_id").where(F.col("chunk_index") >= F.coalesce("n", F.lit(0))).select("id")
     if stale.head(1):
-        target._replace(kb_id, rows.join(stale, "id", "left_anti"))
+        target._change(kb_id, lambda old: old.join(stale, "id", "left_anti"))
 
 
 def ingest(spark: SparkSession, path: str, target: store.Store, kb_id: str, embed, registry: files.Registry | None = None) -> None:

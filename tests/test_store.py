@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,48 @@ def test_store(spark, tmp_path):
         s.rows("k")
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = (store.Store(spark, f"file://{tmp_path}") for _ in range(2))
+    one.ensure("k", 1)
+    two.ensure("k", 1)
+    seen = one.info("k")
+    two.upsert("k", batch(spark, [("b", "b", [1.0], "s", 0, 0)]))
+    assert not one._point("k", seen, seen["number"])  # the other was first: the pointer stays
+    threads = [threading.Thread(target=s.upsert, args=("k", batch(spark, [(x, x, [1.0], "s", 0, 0)]))) for s, x in ((one, "c"), (two, "d"), (one, "e"))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {r.id for r in one.rows("k").collect()} == {"b", "c", "d", "e"}
+    folder = next(tmp_path.iterdir())
+    assert len([f for f in folder.iterdir() if f.name.startswith("v-")]) == 2
+
+
+def test_failing_channel_and_failing_model(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "apple pie", [1.0, 0.0]), ("b", "banana apple", [0.9, 0.1])], "id string, text string, embedding array<double>")
+    q = spark.createDataFrame([(1, "apple", [1.0, 0.0])], "query_id long, text string, vector array<double>")
+
+    def broken(query, texts):
+        raise ConnectionError("no model")
+
+    out, _ = retrieve.retrieve(rows, q, "dense", 2, model=broken)
+    assert [r.id for r in out.orderBy("rank").collect()] == ["a", "b"]
+    whole = dense.dense_topk
+    monkeypatch.setattr(dense, "dense_topk", lambda *a: whole(*a).where(F.raise_error(F.lit("down")).isNull()))
+    out, said = retrieve.retrieve(rows, q, "hybrid", 2)
+    assert out.count() == 2 and said["channels"] == ["keyword"] and said["mode"] == "keyword" and said["degradations"][0]["stage"] == "vector"
+    with pytest.raises(Exception, match="down"):
+        retrieve.retrieve(rows, q, "dense", 2)[0].collect()
+
+
+def test_saved_index(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "one two two"), ("a", "two three"), ("c", "")], "id string, text string")
+    q = spark.createDataFrame([(1, "two"), (2, "three one")], "query_id long, text string")
+    keyword.save(keyword.index(docs), f"{tmp_path}/ix")
+    want = keyword.keyword_topk(docs, q, 5).collect()
+    assert sorted(want) == sorted(keyword.keyword_topk(docs, q, 5, ix=keyword.load(spark, f"{tmp_path}/ix")).collect()) and len(want) == 4
+
+
 def test_stream_equals_batch_and_drops_stale_tail(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
