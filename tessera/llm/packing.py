@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, mix, slices, table, utf8
 
 LENGTH, SEPARATOR, BITS, DIMS = 2048, 1, 10, 3
-#: Bytes of text that a worker splits at a time; words that its cache holds (a full one starts anew).
-SLICE, CACHE_WORDS = 4_000_000, 1_000_000
+#: Bytes of text that a worker splits at a time; words that its cache holds (a full one starts anew, as does each task's).
+SLICE, CACHE_WORDS = 2_000_000, 400_000
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?$"
 _state: dict = {}
 
@@ -95,13 +95,17 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
 
 
+def _forget(s: dict) -> None:
+    s["cache"].clear()
+    s.update(flat=np.zeros(1 << 16, np.uint16), used=0, start=np.zeros(1 << 12, np.int64), size=np.zeros(1 << 12, np.int64))
+
+
 def _known(stems: pa.Array, letters: bool, s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, start, size) of distinct stems: from the worker's cache, or encoded and kept there."""
     given = stems.to_pylist()
     cache = s["cache"]
     if len(cache) > CACHE_WORDS:
-        cache.clear()
-        s.update(flat=np.zeros(1 << 16, np.uint16), used=0, start=np.zeros(1 << 12, np.int64), size=np.zeros(1 << 12, np.int64))
+        _forget(s)
     missing = [w for w in given if w not in cache]
     for i in range(0, len(missing), 20_000):
         part = missing[i : i + 20_000]
@@ -177,6 +181,9 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
                 key = hilbert(((v + 1) * ((1 << BITS) - 1) / 2).round())
                 stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(edges * 2), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(edges)), pa.array(key, pa.int64()), stored], ["doc_id", "n", "key", "ids"])
+        # the worker may serve other operators next
+        _forget(_tokenizer(path))
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key long, ids binary")
 
