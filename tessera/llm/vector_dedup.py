@@ -89,6 +89,8 @@ def _links(cosine: float):
                 i, j = i[ok], j[ok]
                 dot = (v[i] * v[j]).sum(1) / (np.sqrt((v[i] * v[i]).sum(1)) * np.sqrt((v[j] * v[j]).sum(1)))
                 i, j = i[dot >= cosine], j[dot >= cosine]
+                if not len(i):  # most buckets hold vectors that only met by chance
+                    continue
                 # the first common bucket in code order; codes of a table differ only within it
                 first = np.full(len(i), np.iinfo(np.int64).max)
                 for k in range(c.shape[1]):
@@ -104,6 +106,8 @@ def _links(cosine: float):
                 b_all.append(ids[j[kept]])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
             has = np.flatnonzero(count)
+            if not len(has):
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[has], a))), pa.array(np.concatenate((ids[has], b))), pa.array(np.concatenate((count[has], np.zeros(len(a), np.int64))))], ["a", "b", "n"])
 
     return run
