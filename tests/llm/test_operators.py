@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -228,6 +229,54 @@ def test_bands_keep_the_promise():
         assert b * r <= minhash.PERMUTATIONS and (1 - j**r) ** b <= 1.01e-4 * (1 if b * r < 160 else 2)
 
 
+@pytest.mark.parametrize("paired", [minhash.PAIRED, 0])
+def test_minhash_links_a_set_to_any_that_contains_it(spark, monkeypatch, paired):
+    """Links of the smaller set: an excerpt in a text of any length, at the bound and just below it, and through a hub."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    rng = random.Random(21)
+    given = []
+    for k in range(12):
+        whole = sentence(rng, rng.choice([40, 200, 900, 4000])).split()
+        n = rng.choice([5, 6, 12, 30, 38])
+        given += [" ".join(whole), " ".join(whole[:n]), " ".join([*whole[-30:], *sentence(rng, 8).split()]), " ".join([*whole[3:36], *sentence(rng, 7).split()])]
+        given.append(" ".join([*whole[: len(whole) * 5 // 6], *sentence(rng, len(whole) // 12).split()]))
+    hub = sentence(rng, 9)
+    given += [f"{sentence(rng, 150)} {hub} {sentence(rng, 150)}" for _ in range(5)] + [hub, f"{hub} tail"]
+    line = sentence(rng, 60)
+    given += [f"{sentence(rng, 30)} {line} {sentence(rng, 30)}" for _ in range(40)]
+    rng.shuffle(given)
+    given += [given[4], "one", "one two", LONG, " ".join(LONG.split()[20_000:20_040])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, given)]
+    for mutual, size in ((False, min), (True, max)):
+        root = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if len(a & sets[j]) >= 0.8 * size(len(a), len(sets[j])):
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+        assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, given), mutual).collect()} == dict(enumerate(root))
+
+
+def test_filters_in_parts_find_the_same_holders(spark):
+    rng = random.Random(22)
+    given = [sentence(rng, 120) for _ in range(60)]
+    given += [" ".join(t.split()[20:50]) for t in given]
+    docs = frame(spark, given).selectExpr("doc_id as doc", "text")
+    described = docs.mapInArrow(minhash._describe, "doc long, size long, s1 long, s2 long, keys array<long>, rare array<long>")
+    same = described.groupBy("size", "s1", "s2").agg(F.min("doc").alias("first"))
+    one, parts = (minhash.holders(docs, described, same, *bits) for bits in ((), (13,)))
+    assert sorted(one.collect()) == sorted(parts.collect())
+    placed = one.withColumn("c", F.col("doc"))
+    assert {(r.a, r.b) for r in minhash.paired(minhash.asking(placed), placed).collect()} == {(k, 60 + k) for k in range(60)}
+
+
+def test_least_hashes_keep_the_promise():
+    def risk(q):
+        return sum(math.comb(minhash.SKETCH, k) * 0.8**k * 0.2 ** (minhash.SKETCH - k) for k in range(q))
+
+    assert risk(minhash.HITS) <= 1e-6 < risk(minhash.HITS + 1) and minhash.HITS > 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (9, 9)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
