@@ -13,8 +13,10 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import codecs
 import os
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ LENGTH, SEPARATOR, BITS, DIMS = 2048, 1, 10, 3
 #: Bytes of text that a worker splits at a time; words that its cache holds (a full one starts anew, as does each task's).
 SLICE, CACHE_WORDS = 2_000_000, 400_000
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?$"
+#: The library's printable form of each byte; but the blank between words stays as it is.
+_HIDDEN = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+PRINTABLE = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN and b != 32 else b) for b in range(256))
 _state: dict = {}
 
 
@@ -69,23 +74,24 @@ def _tokenizer(path: str):
         # 256 hashed dimensions with signs, then a fixed projection to DIMS: one row of the product for each id
         h = mix(np.arange(size, dtype=np.uint64))
         plane = np.random.default_rng(7).standard_normal((256, DIMS)).astype(np.float32)
-        ends = np.zeros(size, bool)
-        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         marks = {x: tokenizer.encode(x, add_special_tokens=False).ids[0] for x in ".,"}
-        _state.update(path=path, ends=ends, tokenizer=tokenizer, marks=marks, cache={}, flat=np.zeros(1 << 16, np.uint16), used=0, start=np.zeros(1 << 12, np.int64), size=np.zeros(1 << 12, np.int64), plane=plane[(h & np.uint64(255)).astype(np.int64)] * np.where(h >> np.uint64(63), 1, -1).astype(np.float32)[:, None])
+        _state.update(path=path, tokenizer=tokenizer, model=tokenizer.model.tokenize, marks=marks, cache={}, flat=np.zeros(1 << 16, np.uint16), used=0, start=np.zeros(1 << 12, np.int64), size=np.zeros(1 << 12, np.int64), plane=plane[(h & np.uint64(255)).astype(np.int64)] * np.where(h >> np.uint64(63), 1, -1).astype(np.float32)[:, None])
     return _state
 
 
 def _cut(words: list[str], s: dict, letters: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids of each word) of words encoded in one call. A word of letters alone is one run for the
-    tokenizer, so it ends where a token with the end mark does; other words are cut at their offsets."""
-    e = s["tokenizer"].encode(" ".join(words), add_special_tokens=False)
-    ids = np.array(e.ids, np.uint16)
+    """(ids, number of ids of each word) of words. A word of lower-case letters alone is one run for the tokenizer, which
+    hands its bytes in printable form to its model: that one is asked directly. Other words are encoded in one call and
+    cut at their offsets."""
+    joined = " ".join(words)
     if letters:
-        edges = np.concatenate(([0], np.flatnonzero(s["ends"][ids]) + 1))
-    else:
-        at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
-        edges = np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in words]))
+        runs = [[t.id for t in s["model"](w)] for w in codecs.charmap_decode(joined.encode(), "strict", PRINTABLE)[0].split(" ")]
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        return np.fromiter(chain.from_iterable(runs), np.uint16, int(size.sum())), size
+    e = s["tokenizer"].encode(joined, add_special_tokens=False)
+    ids = np.array(e.ids, np.uint16)
+    at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+    edges = np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in words]))
     return ids, np.diff(edges)
 
 
@@ -102,13 +108,16 @@ def _forget(s: dict) -> None:
 
 def _known(stems: pa.Array, letters: bool, s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, start, size) of distinct stems: from the worker's cache, or encoded and kept there."""
-    given = stems.to_pylist()
+    # no stem holds a blank: one string, split again, is faster than a list of an array's values
+    given = pc.binary_join(pa.ListArray.from_arrays([0, len(stems)], stems.cast(pa.string())), " ")[0].as_py().split(" ")
     cache = s["cache"]
     if len(cache) > CACHE_WORDS:
         _forget(s)
-    missing = [w for w in given if w not in cache]
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
+    at = np.fromiter(map(cache.get, given, repeat(-1)), np.int64, len(given))
+    new = np.flatnonzero(at < 0)
+    for i in range(0, len(new), 20_000):
+        rows = new[i : i + 20_000]
+        part = [given[k] for k in rows.tolist()]
         ids, size = _cut(part, s, letters)
         n, end = len(cache), s["used"] + len(ids)
         while len(s["flat"]) < end:
@@ -120,7 +129,7 @@ def _known(stems: pa.Array, letters: bool, s: dict) -> tuple[np.ndarray, np.ndar
         s["size"][n : n + len(part)] = size
         s["used"] = end
         cache.update(zip(part, range(n, n + len(part))))
-    at = np.fromiter(map(cache.__getitem__, given), np.int64, len(given))
+        at[rows] = np.arange(n, n + len(part))
     return s["flat"], s["start"][at], s["size"][at]
 
 

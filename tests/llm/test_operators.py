@@ -110,6 +110,25 @@ def test_token_ids_are_the_library_s_over_random_unicode():
     assert all(ids[a:b].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1] for x, a, b in zip(given, edges, edges[1:]))
 
 
+def test_words_of_letters_skip_the_whole_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    latin = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if chr(c).isalpha()]
+    rng = random.Random(23)
+    given = ["", *(c + e for c in latin for e in ("", ".", ",")), *(" ".join("".join(rng.choices(latin, k=rng.randint(1, 9))) for _ in range(9)) for _ in range(300)), "word " * 30]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in given]
+    s = packing._tokenizer(path)
+    packing._forget(s)
+    asked = []
+    monkeypatch.setitem(s, "tokenizer", type("Whole", (), {"encode": lambda self, x, **kw: asked.append(x) or t.encode(x, **kw)})())
+    for _ in range(2):  # the second time from the cache
+        ids, edges = packing.token_ids(pa.array(given, pa.large_string()), path)
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+    assert not "".join(asked).strip()
+
+
 def test_hilbert_is_a_path():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = grid[np.argsort(packing.hilbert(grid, 3))]
