@@ -160,17 +160,36 @@ def _describe(batches):
             yield pa.RecordBatch.from_arrays([doc, pa.array(size), *[pa.array(x.view(np.int64)) for x in both], *lists], ["doc", "size", "s1", "s2", "keys", "rare"])
 
 
+def _width(n: int, most: int = FILTER_BITS) -> int:
+    """Bits, as a power of 2, of a filter of n hashes."""
+    return min(max(math.ceil(math.log2(16 * n)), 16), most)
+
+
+def _filter(hashes: DataFrame, width: int) -> np.ndarray:
+    """A bit filter of 2^width bits, two of them set for each of the hashes (gram)."""
+    at = hashes.select(F.explode(F.array(*[F.shiftrightunsigned("gram", k).bitwiseAND(F.lit((1 << width) - 1)) for k in (0, width)])).alias("p"))
+    full = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << width - 6, np.uint64)
+    bits[full["word"].to_numpy()] = full["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _passing(bits: np.ndarray, width: int, g: np.ndarray) -> np.ndarray:
+    """Which of the hashes a filter lets through: all that it was made of, and few others."""
+    take, mask = np.ones(len(g), bool), np.uint64((1 << width) - 1)
+    for p in (g & mask, g >> np.uint64(width) & mask):
+        take &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return take
+
+
 def _holding(filter_, width: int, part: int, parts: int):
     """Each set's hashes that all file (in the first part), and those of the part that the filter lets through."""
 
     def file(batches):
-        bits, mask = filter_.value, np.uint64((1 << width) - 1)
         for batch in batches:
             for _, _, size, first, g in _sets(batch):
                 low = g >> np.uint64(RATE_BITS) == 0
-                take = ~low & ((g >> np.uint64(56)) % np.uint64(parts) == part)
-                for p in (g & mask, g >> np.uint64(width) & mask):
-                    take &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+                take = ~low & ((g >> np.uint64(56)) % np.uint64(parts) == part) & _passing(filter_.value, width, g)
                 if part == 0:
                     take |= low
                 name = np.repeat(_name(g, first, 11), size)[take]
@@ -179,6 +198,16 @@ def _holding(filter_, width: int, part: int, parts: int):
     return file
 
 
+def _among(filter_, width: int):
+    """(doc, text) of the rows (doc, text, hash of doc) that the filter lets through."""
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array(_passing(filter_.value, width, batch.column(2).to_numpy().view(np.uint64))))
+
+    return keep
+
+
 def _grams(batches):
     for batch in batches:
         data, offsets = utf8(batch.column(1))
@@ -196,18 +225,15 @@ def holders(docs: DataFrame, described: DataFrame, same: DataFrame, filter_bits:
     rare = described.select(F.explode("rare").alias("gram"))
     n = max(rare.count(), 1)
     parts = min(-(-16 * n >> filter_bits), 128)
-    width = min(max(math.ceil(math.log2(16 * n / parts)), 16), filter_bits)
+    width = _width(-(-n // parts), filter_bits)
     filed = []
     for part in range(parts):
         mine = rare.where(F.pmod(F.shiftrightunsigned("gram", 56), F.lit(parts)) == part) if parts > 1 else rare
-        at = mine.select(F.explode(F.array(*[F.shiftrightunsigned("gram", k).bitwiseAND(F.lit((1 << width) - 1)) for k in (0, width)])).alias("p"))
-        full = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-        bits = np.zeros(1 << width - 6, np.uint64)
-        bits[full["word"].to_numpy()] = full["bits"].to_numpy().view(np.uint64)
-        sent = spark.sparkContext.broadcast(bits)
+        sent = spark.sparkContext.broadcast(_filter(mine, width))
         filed.append(materialize(docs.mapInArrow(_holding(sent, width, part, parts), "set long, gram long, asks boolean"), "held"))
         sent.destroy()
-    held = functools.reduce(DataFrame.union, filed)
+    # Shuffled once for both of its readers, whose plans are alike only if neither has to drop nulls.
+    held = functools.reduce(DataFrame.union, filed).where("set is not null and gram is not null").repartition("gram")
     shared = held.groupBy("gram").agg(F.min("set").alias("x"), F.max("set").alias("y"), F.max("asks").alias("asked")).where("x < y and asked").select("gram")
     firsts = same.select(F.col("s1").alias("set"), F.col("first").alias("doc"), "size")
     named = materialize(held.join(shared.hint("merge"), "gram").distinct().join(firsts.hint("merge"), "set").select("set", "gram", "asks", "doc", "size"), "named")
@@ -234,16 +260,24 @@ def paired(asked: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b): the documents that ask and those of another c that hold it and as many of the least hashes as hits."""
     sides = asked.select("gram", F.col("set").alias("sa"), F.col("doc").alias("a"), "size", F.col("c").alias("ca")).join(held.select("gram", F.col("set").alias("sb"), F.col("doc").alias("b"), F.col("size").alias("larger"), "c").hint("merge"), "gram")
     pairs = materialize(sides.where("ca <> c and size <= larger").select("sa", "sb", "a", "b", "size").distinct(), "pairs")
-    of = pairs.join(held.where("asks").select(F.col("set").alias("sa"), "gram").hint("merge"), "sa")
-    both = of.join(held.select(F.col("set").alias("sb"), "gram").hint("merge"), ["sb", "gram"]).groupBy("sa", "sb", "a", "b", "size").agg(F.count("*").alias("n"))
-    found = materialize(both.where(F.col("n") >= _hits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "paired")
+    of, has = (t.groupBy(F.col("set").alias(s)).agg(F.collect_list("gram").alias(g)) for t, s, g in ((held.where("asks"), "sa", "ga"), (held, "sb", "gb")))
+    both = pairs.join(of.hint("merge"), "sa").join(has.hint("merge"), "sb")
+    found = materialize(both.where(F.size(F.array_intersect("ga", "gb")) >= _hits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "paired")
     discard(pairs)
     return found
 
 
 def sets_of(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """(doc, grams) of some of the docs."""
-    return materialize(docs.join(some.toDF("doc").distinct().hint("merge"), "doc", "left_semi").mapInArrow(_grams, "doc long, grams array<long>"), "sets")
+    """(doc, grams) of some of the docs. A bit filter stops nearly all other texts before the join shuffles them."""
+    some = materialize(some.toDF("doc").distinct(), "some")
+    hashed = F.xxhash64("doc").alias("gram")
+    width = _width(max(some.count(), 1))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(some.select(hashed), width))
+    near = docs.select("doc", "text", hashed).mapInArrow(_among(sent, width), "doc long, text string")
+    sets = materialize(near.join(some.hint("merge"), "doc", "left_semi").mapInArrow(_grams, "doc long, grams array<long>"), "sets")
+    sent.destroy()
+    discard(some)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, mutual: bool = False) -> DataFrame:
@@ -282,19 +316,21 @@ def classes(docs: DataFrame, mutual: bool = False) -> DataFrame:
     """(doc, class_id) of every doc of (doc, text) that has words; doc is not null. A doc_id of several rows has the
     class of each of their texts joined. Texts are read to describe all sets, to file their hashes (not if mutual; once
     for each part of the filter), and to send the sets of documents that are to be compared (twice, if not mutual); they
-    are never shuffled themselves but for the last."""
+    are never shuffled themselves but for the last. What nothing reads any more is deleted before the next step that
+    shuffles much."""
     described = materialize(docs.mapInArrow(_describe, "doc long, size long, s1 long, s2 long, keys array<long>, rare array<long>"), "described")
-    sets = described.select("doc", "size", "s1", "s2")
+    sets, rare = materialize(described.select("doc", "size", "s1", "s2"), "names"), materialize(described.select("rare"), "rare")
     same = sets.groupBy("size", "s1", "s2").agg(F.min("doc").alias("first"))
     equal = materialize(sets.join(same.hint("merge"), ["size", "s1", "s2"]).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "equal")
     firsts = equal.where("a = b").select(F.col("a").alias("doc"))
     filed = materialize(described.join(firsts.hint("merge"), "doc", "left_semi").select("doc", F.explode("keys").alias("key")), "bands")
+    discard(described)
     buckets = filed.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("top")).where("lead < top").select("key", "lead")
     members = materialize(filed.join(buckets.hint("merge"), "key").select("key", "lead", "doc").distinct(), "members")
     discard(filed)
     star = members.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
     if not mutual:
-        held = holders(docs, described, same)
+        held = holders(docs, rare, same)
         apart = held.withColumn("c", F.col("doc"))
         asked = materialize(asking(apart), "asked")
         first = asked.groupBy("gram").agg(F.min(F.struct("size", "set"))["set"].alias("set"))
@@ -303,6 +339,8 @@ def classes(docs: DataFrame, mutual: bool = False) -> DataFrame:
     star = materialize(star.distinct(), "star")
     grams_of = sets_of(docs, star.select("a").union(star.select("b")))
     links = verified(star, grams_of, mutual)
+    if not mutual:
+        discard(grams_of)
     found = components(links)
     # Documents that the links leave in a bucket with one of another component: compare across components.
     filed = members.select(F.col("key").alias("gram"), "doc") if mutual else held
@@ -314,13 +352,13 @@ def classes(docs: DataFrame, mutual: bool = False) -> DataFrame:
         near, split = paired(still.where(F.col("n") <= PAIRED), placed), still.where(F.col("n") > PAIRED)
     open_ = materialize(placed.join(split, "gram", "left_semi").select("doc", "c").distinct(), "open")
     if not mutual:
-        rest = [asked, near, held, led, still, grams_of]
+        rest = [asked, near, held, led, still]
         grams_of = sets_of(docs, open_.select("doc").union(near.select("a")).union(near.select("b")))
     pairs = across(open_, grams_of, mutual)
     more = verified((pairs if mutual else pairs.union(near).distinct()).join(star, ["a", "b"], "left_anti"), grams_of, mutual)
     group = materialize(components(links.union(more).union(equal)), "classes")
     out = materialize(sets.select("doc").distinct().join(group.withColumnRenamed("id", "doc").hint("merge"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("class_id")), "classes")
-    discard(described, equal, members, star, grams_of, links, found, placed, open_, pairs, more, group, *rest)
+    discard(sets, rare, equal, members, star, grams_of, links, found, placed, open_, pairs, more, group, *rest)
     return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -289,6 +290,32 @@ def test_filters_in_parts_find_the_same_holders(spark):
     assert {(r.a, r.b) for r in minhash.paired(minhash.asking(placed), placed).collect()} == {(k, 60 + k) for k in range(60)}
 
 
+def test_minhash_moves_few_texts_and_frees_its_tables(spark, monkeypatch):
+    """Texts of which no pair is compared are not shuffled; tables of the first comparison are gone before the second."""
+    rng = random.Random(31)
+    given = [sentence(rng, 400) for _ in range(300)]
+    given += [f"{t} more" for t in given[:3]]
+    real, made, steps = minhash.materialize, [], []
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    def watched(df, name):
+        there, before = {n for n, folder in made if os.path.exists(folder)}, shuffled()
+        out = real(df, name)
+        steps.append((name, there, shuffled() - before))
+        made.append((name, os.path.dirname(out.inputFiles()[0].removeprefix("file://"))))
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", watched)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, given)).where("not kept").collect()} == {300: 0, 301: 1, 302: 2}
+    sets = [(there, moved) for name, there, moved in steps if name == "sets"]
+    assert len(sets) == 2 and all(moved < sum(map(len, given)) / 10 for _, moved in sets)
+    assert "star" in sets[1][0] and not {"sets", "described", "bands"} & sets[1][0]
+
+
 def test_least_hashes_keep_the_promise():
     def risk(q):
         return sum(math.comb(minhash.SKETCH, k) * 0.8**k * 0.2 ** (minhash.SKETCH - k) for k in range(q))
