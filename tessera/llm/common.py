@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 2_000_000
 M64 = (1 << 64) - 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to a Python worker at a time where they hold texts: a batch is in memory in the JVM and in the worker.
+BATCH, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def few_texts(spark: SparkSession):
+    """While it lasts, jobs send at most TEXT_ROWS rows at a time to a Python worker."""
+    return _setting(spark, BATCH, str(TEXT_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. The shuffle files
     of the write are deleted at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _setting(spark, CLEANUP, "true"):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

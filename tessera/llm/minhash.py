@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, grams, materialize, mix, slices, table, utf8, words
+from tessera.llm.common import discard, few_texts, grams, materialize, mix, slices, table, utf8, words
 from tessera.llm.components import components
 
 SHINGLE, CONTAINMENT, PERMUTATIONS, MISS = 5, 0.8, 160, 1e-4
@@ -211,7 +211,7 @@ def _among(filter_, width: int):
 def _grams(batches):
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 500_000):
             _, _, row, h = words(data, offsets[a : b + 1])
             r, g = shingles(h, row, b - a)
             edges = np.searchsorted(r, np.arange(b - a + 1)).astype(np.int32)
@@ -230,7 +230,8 @@ def holders(docs: DataFrame, described: DataFrame, same: DataFrame, filter_bits:
     for part in range(parts):
         mine = rare.where(F.pmod(F.shiftrightunsigned("gram", 56), F.lit(parts)) == part) if parts > 1 else rare
         sent = spark.sparkContext.broadcast(_filter(mine, width))
-        filed.append(materialize(docs.mapInArrow(_holding(sent, width, part, parts), "set long, gram long, asks boolean"), "held"))
+        with few_texts(spark):
+            filed.append(materialize(docs.mapInArrow(_holding(sent, width, part, parts), "set long, gram long, asks boolean"), "held"))
         sent.destroy()
     # Shuffled once for both of its readers, whose plans are alike only if neither has to drop nulls.
     held = functools.reduce(DataFrame.union, filed).where("set is not null and gram is not null").repartition("gram")
@@ -274,7 +275,8 @@ def sets_of(docs: DataFrame, some: DataFrame) -> DataFrame:
     width = _width(max(some.count(), 1))
     sent = docs.sparkSession.sparkContext.broadcast(_filter(some.select(hashed), width))
     near = docs.select("doc", "text", hashed).mapInArrow(_among(sent, width), "doc long, text string")
-    sets = materialize(near.join(some.hint("merge"), "doc", "left_semi").mapInArrow(_grams, "doc long, grams array<long>"), "sets")
+    with few_texts(docs.sparkSession):
+        sets = materialize(near.join(some.hint("merge"), "doc", "left_semi").mapInArrow(_grams, "doc long, grams array<long>"), "sets")
     sent.destroy()
     discard(some)
     return sets
@@ -318,7 +320,8 @@ def classes(docs: DataFrame, mutual: bool = False) -> DataFrame:
     for each part of the filter), and to send the sets of documents that are to be compared (twice, if not mutual); they
     are never shuffled themselves but for the last. What nothing reads any more is deleted before the next step that
     shuffles much."""
-    described = materialize(docs.mapInArrow(_describe, "doc long, size long, s1 long, s2 long, keys array<long>, rare array<long>"), "described")
+    with few_texts(docs.sparkSession):
+        described = materialize(docs.mapInArrow(_describe, "doc long, size long, s1 long, s2 long, keys array<long>, rare array<long>"), "described")
     sets, rare = materialize(described.select("doc", "size", "s1", "s2"), "names"), materialize(described.select("rare"), "rare")
     same = sets.groupBy("size", "s1", "s2").agg(F.min("doc").alias("first"))
     equal = materialize(sets.join(same.hint("merge"), ["size", "s1", "s2"]).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "equal")

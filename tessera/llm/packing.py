@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix, slices, table, utf8
+from tessera.llm.common import few_texts, materialize, mix, slices, table, utf8
 
 LENGTH, SEPARATOR, BITS, DIMS = 2048, 1, 10, 3
 #: Bytes of text that a worker splits at a time; words that its cache holds (a full one starts anew, as does each task's).
@@ -213,7 +213,8 @@ def starts(rows: DataFrame) -> DataFrame:
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids."""
-    stored = materialize(tokens(docs, path).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    with few_texts(docs.sparkSession):
+        stored = materialize(tokens(docs, path).withColumn("row", F.monotonically_increasing_id()), "tokens")
     at = starts(stored.select("row", "key", "n"))
 
     def run(batches):

@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm.common import discard, grams, materialize, mix, slices, table, utf8, words
+from tessera.llm.common import discard, few_texts, grams, materialize, mix, slices, table, utf8, words
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
@@ -198,12 +198,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     from (doc, ta, tb, text): a document's number, 128 bits of number and text that name the row, its text.
 
     What is shared is first found on half of the name: rows that agree in it by chance only make more candidates."""
-    seen = materialize(docs.mapInArrow(_emit_grams, "rep long, ta long"), "grams")
+    with few_texts(docs.sparkSession):
+        seen = materialize(docs.mapInArrow(_emit_grams, "rep long, ta long"), "grams")
     shared = seen.groupBy("rep").agg(F.min("ta").alias("lo"), F.max("ta").alias("hi")).where("lo < hi").select("rep")
     reps = materialize(seen.join(shared.hint("merge"), "rep", "left_semi").groupBy("ta").agg(F.collect_set("rep").alias("reps")), "reps")
     discard(seen)
     segments = docs.join(reps.hint("merge"), "ta").select("doc", "ta", "tb", "text", "reps").mapInArrow(_emit_segments, "rep long, seg long, doc long, ta long, tb long, at long, windows array<long>")
-    segments = materialize(segments, "segments")
+    with few_texts(docs.sparkSession):
+        segments = materialize(segments, "segments")
     discard(reps)
     # A segment that an earlier document has whole is settled; windows are compared only under representatives with
     # several different segments, once for each segment.
@@ -243,11 +245,10 @@ def _keyed(docs: DataFrame):
 def remove_earlier(docs: DataFrame) -> DataFrame:
     """docs, text without the removed words (its other words and the white space between kept neighbours unchanged)."""
 
-    def run(batches):
-        for batch in batches:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
             out = []
-            texts = pc.struct_field(batch.column(0), "text").cast(pa.string()).to_pylist()
-            for text, hits in zip(texts, batch.column(1).to_pylist()):
+            for text, hits in zip(texts.to_pylist(), found.to_pylist()):
                 if hits:
                     ends, w = [], list(WORD.finditer(text))
                     gone = _spans(hits, len(w))
@@ -262,10 +263,10 @@ def remove_earlier(docs: DataFrame) -> DataFrame:
                         at, before = m.end(), g
                     text = "".join(ends) + ("" if before else text[at:])
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["given", "body"])
+            yield pa.array(out, pa.string())
 
     joined = docs.select(F.struct("*").alias("given"), *_keyed(docs)[1:3]).join(repeated(docs.select(*_keyed(docs))).hint("merge"), ROW, "left").select("given", "hits")
-    done = joined.mapInArrow(run, joined.drop("hits").schema.add("body", "string"))
+    done = joined.select("given", F.arrow_udf(run, "string")(F.col("given")["text"].cast("string"), "hits").alias("body"))
     columns = [F.col("body").alias("text") if c == "text" else F.col("given")[c].alias(c) for c in docs.columns]
     return done.select(*columns)
 

@@ -20,6 +20,7 @@ import math
 import re
 import sys
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,14 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 
 
 def _scores(sent):
-    def run(batches):
+    """The scores of batches of texts."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         index = {p: k for k, p in enumerate(model["voters"])} if model else {}
         exact = {p[1:]: k for p, k in index.items() if p[0] == "="}
         by = [{p: k for p, k in index.items() if p[0] != "=" and len(p) == n} for n in (4, 5, 6)]
-        for batch in batches:
-            v = np.zeros((batch.num_rows, len(index)), np.int64)
-            for r, text in enumerate(batch.column(1).to_pylist()):
+        for texts in batches:
+            v = np.zeros((len(texts), len(index)), np.int64)
+            for r, text in enumerate(texts.to_pylist()):
                 if model and text:
                     hit = set()
                     for w in set(text.lower().split()):
@@ -192,17 +195,16 @@ def _scores(sent):
                 x = _inputs(v)
                 score = 1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
             else:
-                score = np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["given", "score"])
+                score = np.zeros(len(texts))
+            yield pa.array(score)
 
     return run
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """(given, score): every row of docs as a struct, with its score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("given"), F.col("text").cast("string").alias("body"))
-    return rows.mapInArrow(_scores(sent), rows.drop("body").schema.add("score", "double"))
+    """(given, score): every row of docs as a struct, with its score. Only texts go to the workers, only scores come back."""
+    score = F.arrow_udf(_scores(docs.sparkSession.sparkContext.broadcast(model)), "double")
+    return docs.select(F.struct("*").alias("given"), score(F.col("text").cast("string")).alias("score"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,7 +216,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("doc_id").alias("given"), F.col("text").cast("string").alias("body"))
-    done = rows.mapInArrow(_scores(sent), rows.drop("body").schema.add("score", "double"))
-    return done.select("given.doc_id", held_out("given.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, model).select("given.doc_id", held_out("given.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -606,3 +606,57 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert all((shared in final[i].text) == (i == min(holders)) for i in holders)
     assert all(r.n_chars == len(r.text or "") for r in final.values() if r.text is not None)
     assert json.loads(json.dumps([s for s, _ in corpus_pipeline.STAGES])) == ["toxicity", "minhash", "substring", "pii", "packing"]
+
+
+def test_python_workers_get_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    def noted(f):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    with open(tmp_path / f"{f.__name__}-{os.getpid()}", "a") as out:
+                        print(batch.num_rows, file=out)
+                    yield batch
+
+            return f(each())
+
+        return run
+
+    steps = [(minhash, "_describe"), (minhash, "_grams"), (substring, "_emit_grams"), (substring, "_emit_segments")]
+    for module, name in steps:
+        monkeypatch.setattr(module, name, noted(getattr(module, name)))
+    rng = random.Random(21)
+    one = [sentence(rng, 30) for _ in range(2500)]
+    docs = frame(spark, [*one, *[f"{t} end" for t in one]]).coalesce(1)
+    assert minhash.keep_first(docs).count() == 2500
+    assert substring.remove_earlier(docs).where("text = ' end' or text = 'end'").count() == 2500
+    for _, name in steps:
+        seen = [int(n) for p in tmp_path.glob(f"{name}-*") for n in p.read_text().split()]
+        assert sum(seen) >= 2500 and max(seen) <= 1000, (name, seen)
+
+
+def test_stages_send_a_text_once_to_the_workers_and_no_other_column(spark):
+    """Bytes that the last step of a stage exchanges with Python, by the plan's metrics."""
+
+    def exchanged(df):
+        df.collect()
+        at, sums = [df._jdf.queryExecution().executedPlan()], [0, 0]
+        while at:
+            node = at.pop()
+            if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ResultQueryStageExec"):
+                at.append(node.executedPlan() if "Adaptive" in node.getClass().getSimpleName() else node.plan())
+                continue
+            at += [node.children().apply(k) for k in range(node.children().size())]
+            for k, name in enumerate(("pythonDataSent", "pythonDataReceived")):
+                if node.metrics().contains(name):
+                    sums[k] += node.metrics().apply(name).value()
+        return sums
+
+    rng = random.Random(22)
+    texts = [sentence(rng, 400) for _ in range(300)]
+    docs = frame(spark, texts).withColumn("doc", F.col("text"))
+    size = sum(map(len, texts))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    sent, received = exchanged(toxicity.keep_clean(docs, labels))
+    assert size <= sent < 1.2 * size and 0 < received < 0.2 * size
+    sent, received = exchanged(substring.remove_earlier(docs))
+    assert size <= sent < 1.2 * size and size <= received < 1.2 * size
