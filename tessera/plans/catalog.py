@@ -562,8 +562,8 @@ def dense_filter_empty_list_every50(spark, d):
 
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings q WHERE q.{_Q50}")
 def cosine_scalar_every50(spark, d):
-    e, q = read(spark, d, "embeddings"), vector_queries(spark, d, _Q50)
-    return e.join(F.broadcast(q)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return dense.cosines(e, vector_queries(spark, d, _Q50), 6).select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("similarity"))
 
 
 @query("WITH " + _bm25_sql("true", 10, "lang = 'en'") + " SELECT query_id, id, round(score, 6) AS score, rank FROM keyword")

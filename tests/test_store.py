@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions.predicates import matches
 from tessera.functions.vectors import cosine
 from tessera.operators import dense, degrade, keyword, rerank, retrieve, store, tasks
+from tessera.plans import catalog
 from tessera.sources import files
 from tessera.streaming import ingest
 from tests.test_docx import make, p
@@ -132,6 +133,25 @@ def test_dense_ties_and_zero(spark):
         dense.dense_topk(rows, q, 0)
 
 
+def test_cosines_of_all_pairs_equal_the_scalar_ones(spark):
+    v = [[1.0, 2.0], [0.0, 0.0], [-3.0, 0.5], None, [1.0, None], [float("nan"), 1.0], [-2.0, 1.0], [127.0, 2.0**0.5], [0.0078125, 0.0]]
+    rows = spark.createDataFrame([*enumerate(v)], "id long, embedding array<float>").repartition(1)
+    q = rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    show = lambda df: sorted((r.query_id, r.id, repr(r.score)) for r in df.collect())
+    got = dense.cosines(rows, q, 6)
+    want = rows.crossJoin(q).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score"))
+    assert show(got) == show(want) and got.count() == len(v) ** 2 and got.rdd.getNumPartitions() > 1
+    assert dense.cosines(rows, q.limit(0)).count() == 0
+    assert show(dense.cosines(rows.where("embedding is null"), q, 6)) == show(want.where("id = 3"))
+    with pytest.raises(Exception, match="differ in length"):
+        dense.cosines(rows.union(spark.createDataFrame([(99, [1.0])], rows.schema)), q).collect()
+
+
+def test_every_pair_is_made_by_blocks(spark, data):
+    plan = catalog.queries()["cosine_scalar_every50"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_keyword(spark):
     docs = spark.createDataFrame([("b", "红色 Rust_1 rust"), ("a", "红 rust"), ("c", "")], "id string, text string")
     q = spark.createDataFrame([(1, "RUST rust 红"), (2, "")], "query_id long, text string")
