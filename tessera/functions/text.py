@@ -6,7 +6,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,6 +22,28 @@ def tokenize(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+_TOKEN_UTF8 = re.compile(rb"[a-z0-9_]+|\xe3[\x90-\xbf][\x80-\xbf]|\xe4[\x80-\xb6\xb8-\xbf][\x80-\xbf]|[\xe5-\xe9][\x80-\xbf][\x80-\xbf]")
+
+
+def utf8_tokens(text: bytes | None) -> list[bytes]:
+    """What `tokenize` finds, for UTF-8 in Python workers; lower() of bytes changes ASCII only."""
+    return _TOKEN_UTF8.findall(text.lower()) if text else []
+
+
+#: Bytes of text of which a Python worker makes objects at a time; a longer text is one slice of its own.
+SLICE_BYTES = 1_000_000
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of rows with at most `most` bytes of text each, at least one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 

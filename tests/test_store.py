@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import matches
+from tessera.functions.text import tokenize
 from tessera.functions.vectors import cosine
 from tessera.operators import dense, degrade, keyword, rerank, retrieve, store, tasks
 from tessera.plans import catalog
@@ -159,6 +160,20 @@ def test_keyword(spark):
     assert {r.query_id for r in got} == {1} and {r.id for r in got} == {"a", "b"} and all(r.score > 0 for r in got)
 
 
+ODD = [None, "", "Ünï_9 x", "\u212a K k \u0130I ſS", "\u33ff\u3400\u4dbf\u4dc0\u4dff\u4e00\u9fff\ua000 a漢b字字", "A_a a_A \U00020000 9 \x00z", "b " * 50 + "a", "…é—ß中"]
+
+
+def test_tokens_are_counted_where_the_text_is(spark):
+    docs = spark.createDataFrame([*enumerate(ODD)], "id long, text string")
+    postings = keyword.index(docs).postings
+    got = sorted((r.id, r.term, r.tf, r.len) for r in postings.collect())
+    each = docs.select(F.col("id").cast("string").alias("id"), tokenize(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    assert got == sorted((r.id, r.term, r.tf, r.len) for r in each.groupBy("id", "len", "term").agg(F.count("*").alias("tf")).collect()) and len(got) > 15
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    twice = {(r.term, r.len): r.tf for r in keyword.index(docs.where("id = 6").union(docs.where("id = 6"))).postings.collect()}
+    assert twice == {("b", 51): 100, ("a", 51): 2}
+
+
 def test_retrieve_modes_and_rerank(spark):
     rows = spark.createDataFrame([("a", "apple pie", [1.0, 0.0]), ("b", "banana apple", [0.9, 0.1]), ("c", "cherry", [0.0, 1.0])], "id string, text string, embedding array<double>")
     q = spark.createDataFrame([(1, "apple", [1.0, 0.0])], "query_id long, text string, vector array<double>")
