@@ -26,7 +26,7 @@ def retrieve(rows: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: i
 
     rows: id, text, embedding and what the filter reads; queries: query_id, text, vector. A batch of queries is one plan.
     In hybrid mode each channel's hits (at most fetch_k a query) are computed here and kept, so that a channel that fails
-    while it runs leaves the answer to the other one; the other modes stay lazy.
+    while it runs leaves the answer to the other one; the other modes read only queries and statistics here.
     """
     effective, fetch = limits(top_k, fetch_k, level)
     if mode not in ("dense", "keyword", "hybrid"):

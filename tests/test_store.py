@@ -1,5 +1,7 @@
 import threading
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,33 @@ def test_tokens_are_counted_where_the_text_is(spark):
     assert twice == {("b", 51): 100, ("a", 51): 2}
 
 
+def test_keyword_search_lists_no_matches(spark, monkeypatch):
+    docs = spark.createDataFrame([*enumerate(ODD * 4), (99, "k")], "id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "k a b"), (1, "b 字"), (2, "字 x ü"), (3, "no_such"), (4, None), (5, "S k k")], "query_id long, text string")
+    monkeypatch.setattr(keyword, "CELLS", 20)  # more than one block
+    monkeypatch.setattr(keyword, "BLOCK", 2)
+    for k, where in ((1, None), (3, F.col("id") > 7), (100, None)):
+        hits = keyword.bm25(keyword.index(docs), q)
+        if where is not None:
+            hits = hits.join(docs.where(where).select(F.col("id").cast("string").alias("id")), "id", "left_semi")
+        got = keyword.keyword_topk(docs, q, k, where)
+        show = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 8)) for r in df.collect())
+        assert show(got) == show(dense.ranked(hits, k)) and {r[0] for r in show(got)} == {1, 2, 5}
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    same = docs.union(docs.where("id = 2"))  # an id that two rows share
+    assert keyword.keyword_topk(same, q, 5).where("query_id = 2 and id = '2'").first().score > got.where("query_id = 2 and id = '2'").first().score
+
+
+def test_equal_scores_are_bounded():
+    best = keyword._Best([7], 2)
+    for x in "zyx":
+        best.add(pa.array([x + "c", x + "a", x + "b", x + "d"]), np.array([[1.0, 1.0, 1.0, 0.0]]))
+        best._trim()
+        assert len(best.held[0]) == 2
+    best.add(pa.array(["e"]), np.array([[1.5]]))
+    assert best.batch().to_pydict() == {"query_id": [7, 7, 7], "id": ["e", "xa", "xb"], "score": [1.5, 1.0, 1.0]}
+
+
 def test_retrieve_modes_and_rerank(spark):
     rows = spark.createDataFrame([("a", "apple pie", [1.0, 0.0]), ("b", "banana apple", [0.9, 0.1]), ("c", "cherry", [0.0, 1.0])], "id string, text string, embedding array<double>")
     q = spark.createDataFrame([(1, "apple", [1.0, 0.0])], "query_id long, text string, vector array<double>")
