@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,10 +98,13 @@ def sweep(tasks: DataFrame, now: Column, lease_seconds: int = LEASE_SECONDS) ->
     return tasks.where(stale).withColumn("new_status", new)
 
 
-def fold(events: list[dict]) -> dict:
-    """State of a task after its events (type, at, worker, stage, progress) in order. Moves that the table
-    forbids, and those of a worker that no longer owns the task, change nothing."""
-    s = {"status": "pending", "attempts": 0, "version": 0, "worker": None, "stage": None, "progress": 0.0, "started_at": None, "finished_at": None, "stages": 0, "ignored": 0}
+START = {"status": "pending", "attempts": 0, "version": 0, "worker": None, "stage": None, "progress": 0.0, "started_at": None, "finished_at": None, "stages": 0, "ignored": 0}
+
+
+def fold(events: Iterable[dict], state: dict | None = None) -> dict:
+    """State of a task after its events (type, at, worker, stage, progress) in order, from a state that earlier ones left.
+    Moves that the table forbids, and those of a worker that no longer owns the task, change nothing."""
+    s = dict(state or START)
     for e in events:
         kind, at, worker = e["type"], e["at"], e.get("worker")
         owned = worker is None or worker == s["worker"]
@@ -108,7 +112,7 @@ def fold(events: list[dict]) -> dict:
             if s["status"] != "pending":
                 s["ignored"] += 1
                 continue
-            s.update(status="running", worker=worker, attempts=s["attempts"] + 1, started_at=s["started_at"] or at, version=s["version"] + 1)
+            s.update(status="running", worker=worker, attempts=s["attempts"] + 1, started_at=at if s["started_at"] is None else s["started_at"], version=s["version"] + 1)
         elif kind == "heartbeat":
             s["ignored"] += not owned
         elif kind == "stage":
@@ -144,13 +148,45 @@ def fold(events: list[dict]) -> dict:
 STATE = "task_id string, status string, attempts int, version int, worker string, stage string, progress double, started_at timestamp, finished_at timestamp, stages int, ignored int"
 
 
-def fold_tasks(events: DataFrame) -> DataFrame:
-    """One row of state a task from events (task_id, seq, type, at, worker, stage, progress); a task's log is bounded."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        log = pdf.sort_values("seq").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        return pd.DataFrame([{"task_id": key[0], **fold(log)}]).astype({"started_at": "datetime64[ns]", "finished_at": "datetime64[ns]"})
+#: Events of which a task makes objects at a time.
+EVENTS = 10_000
+_FOLDED = pa.schema([("task_id", pa.string()), ("status", pa.string()), ("attempts", pa.int32()), ("version", pa.int32()), ("worker", pa.string()), ("stage", pa.string()), ("progress", pa.float64()), ("started_at", pa.timestamp("us", "UTC")), ("finished_at", pa.timestamp("us", "UTC")), ("stages", pa.int32()), ("ignored", pa.int32())])
+
+
+def _folded(batches):
+    """Rows of events, a task's together and in order, as a row of state a task; a log may go over batches."""
+    key, state, out = None, None, []
 
-    return events.groupBy("task_id").applyInPandas(run, STATE)
+    def done():
+        return pa.RecordBatch.from_pylist(out, _FOLDED)
+
+    for whole in batches:
+        for a in range(0, whole.num_rows, EVENTS):
+            batch = whole.slice(a, EVENTS)
+            ids, *columns = (batch.column(n).to_pylist() for n in batch.schema.names)
+            names = batch.schema.names[1:]
+            log = [dict(zip(names, r)) for r in zip(*columns)]
+            cuts = [0, *(j for j in range(1, len(ids)) if ids[j] != ids[j - 1]), len(ids)]
+            for b, c in zip(cuts, cuts[1:]):
+                if state is not None and ids[b] != key:
+                    out.append({"task_id": key, **state})
+                    state = None
+                key, state = ids[b], fold(log[b:c], state)
+            if len(out) >= EVENTS:
+                yield done()
+                out = []
+    if state is not None:
+        out.append({"task_id": key, **state})
+    yield done()
+
+
+def fold_tasks(events: DataFrame) -> DataFrame:
+    """One row of state a task from events (task_id, seq, type, at, worker, stage, progress): whole partitions of tasks are
+    folded, not a group at a time; no log is held."""
+    rest = [c for c in events.columns if c not in ("task_id", "seq")]
+    logs = events.select(F.col("task_id").cast("string"), "seq", *rest).repartition("task_id").sortWithinPartitions("task_id", F.asc_nulls_last("seq"))
+    logs = logs.select("task_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), *(c for c in rest if c != "at"))
+    return logs.mapInArrow(_folded, STATE)
 
 
 def stateful_fold(stream: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import threading
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,20 @@ def test_misaligned_scores_keep_recall_order(spark):
     assert [r.id for r in got] == ["a", "b"] and not any(r.reranked for r in got)
 
 
+def test_logs_are_folded_by_partition(spark, monkeypatch):
+    kinds = ("claim", "stage", "progress", "heartbeat", "handoff", "cancel", "failed", "retry", "succeeded")
+    rows = [(t, seq, kinds[(seq * 7 + len(t or "") * seq * seq) % 9], None if seq == 5 else datetime(1970, 1, 1) + timedelta(seconds=seq), "w" if seq % 4 == 0 else None, f"s{seq}", [None, float("nan"), 0.5, 7.0][seq % 4]) for t in ("a", "bb", "ccc", None, "longest") for seq in range(30 if t == "longest" else 12)]
+    events = spark.createDataFrame(rows[::-1], "task_id string, seq int, type string, at timestamp, worker string, stage string, progress double").repartition(5)
+    monkeypatch.setattr(tasks, "EVENTS", 7)  # logs go over batches
+    got = tasks.fold_tasks(events)
+    want = []
+    for t in {r[0] for r in rows}:
+        s = tasks.fold([{"type": r[2], "at": r[3], "worker": r[4], "stage": r[5], "progress": r[6]} for r in rows if r[0] == t])
+        want.append((t, *(s[c] for c in got.columns[1:])))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert "MapInArrow" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroups" not in plan
+
+
 def test_folds():
     assert degrade.fold_levels([3, 0, 0, 0, 0], [0, 10, 30, 50, 60]) == [3, 3, 2, 2, 1]
     e = lambda t, **k: {"type": t, "at": 1, **k}
