@@ -1,9 +1,11 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.functions.text import normalize_text
-from tessera.operators.chunk import CHUNKERS, SEPARATORS, Splitter
+from tessera.functions.text import SLICE_BYTES, normalize_text
+from tessera.operators.chunk import CHUNKERS, SEPARATORS, Splitter, splitter_udf
+from tessera.plans import catalog
 
 TEXT = st.text(alphabet="ab .,\n#;é漢", max_size=300)
 
@@ -63,3 +65,26 @@ def test_normalize():
 def test_normalize_is_idempotent(text):
     once = normalize_text(text)
     assert normalize_text(once) == once
+
+
+#: Nulls and empty texts among long ones; one is longer than a slice.
+LONG = [None, "", *(f"# é{n}  \n\n\n" + "word 漢\t\n" * 300 for n in range(900)), "x" * (SLICE_BYTES + 9), None]
+
+
+def in_slices(function):
+    """What a worker yields for one batch, and its texts by slice."""
+    out = list(function(iter([pa.array(LONG[:1] + LONG).slice(1)])))
+    ends = [sum(map(len, out[:n])) for n in range(len(out) + 1)]
+    made = [sum(len((t or "").encode()) for t in LONG[a:b]) for a, b in zip(ends, ends[1:])]
+    assert len(out) > 3 and ends[-1] == len(LONG) and all(n <= SLICE_BYTES or b - a == 1 for n, a, b in zip(made, ends, ends[1:]))
+    return [x for part in out for x in part.to_pylist()]
+
+
+def test_chunks_of_a_batch_are_made_slice_by_slice():
+    assert in_slices(splitter_udf(CHUNKERS["text"]).func) == [CHUNKERS["text"].split(t) for t in LONG]
+
+
+@pytest.mark.parametrize("name", ["chunk_maxlen", "chunk_reconstruct", "html_chunks"])
+def test_texts_are_chunked_once(spark, data, name):
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
