@@ -7,7 +7,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -123,10 +122,11 @@ def normalize_text(text: str | None) -> str | None:
     return "\n".join(kept)
 
 
-@F.pandas_udf(StringType())
-def normalize_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(StringType())
+def normalize_markdown(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield texts.map(normalize_text, na_action="ignore")
+        for a, b in slices(texts):
+            yield pa.array(map(normalize_text, texts.slice(a, b - a).to_pylist()), pa.string())
 
 
 def table_markdown(rows: Column) -> Column:

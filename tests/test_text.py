@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.functions.text import SLICE_BYTES, normalize_text
+from tessera.functions.text import SLICE_BYTES, normalize_markdown, normalize_text
 from tessera.operators.chunk import CHUNKERS, SEPARATORS, Splitter, splitter_udf
 from tessera.plans import catalog
 
@@ -88,3 +88,7 @@ def test_chunks_of_a_batch_are_made_slice_by_slice():
 def test_texts_are_chunked_once(spark, data, name):
     plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_batch_is_normalized_slice_by_slice():
+    assert in_slices(normalize_markdown.func) == [normalize_text(t) for t in LONG]
